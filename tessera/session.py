@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +29,23 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a Spark context; for sessions that were not submitted with it."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera_code.zip")
+    with open(path, "wb") as f:
+        f.write(held.getvalue())
+    context.addPyFile(path)
+    context._tessera_shipped = True
