@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language, urls
+from tessera.llm import language, pii, urls
 from tessera.session import ship_code
 
-_QUERIES = [language.op1_language_id, urls.op10_url_filter]
+_QUERIES = [language.op1_language_id, pii.op3_pii, urls.op10_url_filter]
 
 
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
