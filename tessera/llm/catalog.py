@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, language, pii, urls
+from tessera.llm import decontam, jaccard, language, pii, urls
 from tessera.session import ship_code
 
-_QUERIES = [language.op1_language_id, pii.op3_pii, jaccard.op8_jaccard_join, urls.op10_url_filter]
+_QUERIES = [language.op1_language_id, pii.op3_pii, jaccard.op8_jaccard_join, decontam.op9_decontamination, urls.op10_url_filter]
 
 
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
