@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, jaccard, language, pii, tokens, urls
+from tessera.llm import bpe, decontam, gif, jaccard, language, pii, tokens, urls
 from tessera.session import ship_code
 
-_QUERIES = [language.op1_language_id, pii.op3_pii, tokens.op4_tokens, bpe.op6_bpe, jaccard.op8_jaccard_join, decontam.op9_decontamination, urls.op10_url_filter]
+_QUERIES = [language.op1_language_id, pii.op3_pii, tokens.op4_tokens, gif.op5_gif, bpe.op6_bpe, jaccard.op8_jaccard_join, decontam.op9_decontamination, urls.op10_url_filter]
 
 
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
