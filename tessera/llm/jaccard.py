@@ -1,10 +1,13 @@
 """N-gram Jaccard join as a blocked sparse matrix product of document by n-gram incidence.
 
-Which pairs can link at all follows from sizes. With threshold t, a set of n n-grams and p = n - ceil(t n) + 1, two linked sets share at
-least k n-grams among the first p + k - 1 of each, in any fixed order of n-grams (here: by hash). The first 1.5 p are a set's region.
-An n-gram in more than `hot` regions is hot. A set with fewer hot n-grams in its region than the k above shares an n-gram that is not hot
-with every set it links to; sets with more of them are tied by their hot n-grams as well, but only to one another. Sets so tied form
-candidate clusters, outside which no link exists; the counts are over all documents and nothing is left out.
+Which pairs can link at all follows from sizes. With threshold t, a set of n n-grams must share T = ceil(t n) with a partner, so with
+p = n - T + 1 the first k n-grams that two linked sets have in common, in any fixed order (here: by hash), lie within the first p + k - 1
+of each. A set's region is its first 2 p n-grams, which makes k = p + 1 (or T where the region is the whole set).
+
+Only n-grams in two regions or more count. A set with fewer of them than the least k that a partner of its size can ask for links with
+nothing. An n-gram in up to `few` regions ties its sets in pairs, whose counts accumulate; a pair is discarded when its count and the
+commoner n-grams both hold can't reach k. Two sets that could reach k by commoner n-grams alone are tied by any of those. What is tied
+forms clusters, outside which no link exists. The order and the counts are over all documents, and no pair that could link is left out.
 
 Inside a cluster, sets are sorted by size and cut into blocks. Each pair of blocks whose sizes are close enough is one task: overlap
 counts accumulate over blocks of columns, pairs that can no longer reach the bound are discarded, and a spanning forest of the links
@@ -87,54 +90,74 @@ def prefix_length(n, percent: int):
 
 
 def region_length(n, percent: int):
-    p = prefix_length(n, percent)
-    return np.minimum(n, p + (p + 1) // 2)
+    """2 p, at most n."""
+    return min(n, 2 * prefix_length(n, percent))
 
 
 def text_sets(docs: DataFrame, width: int, percent: int, text: str = "text", ids: list[str] | None = None, whole: bool = False) -> DataFrame:
-    """Per row: the id columns, n (set size), d (fingerprint of the set) and grams: its region's hashes, or all of them, packed."""
+    """Per row: the id columns, n (set size), d (fingerprint of the set) and grams: all its hashes packed, or its region's (null where the task has given that set before)."""
     ids = ids if ids is not None else ["doc_id"]
     docs = docs.select(*ids, F.col(text).cast("binary").alias("__t"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids), "n long", "d long", "grams binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
+        seen: set[int] = set()  # sets whose region this task has given already; bounded
         for batch in batches:
             n, d, grams = [], [], []
             for s in shingler.sets(batch.column(len(ids)).to_pylist()):
                 n.append(len(s))
                 d.append(int(mix(np.array([mix(s * BASE).sum(dtype=np.uint64) + np.uint64(len(s))])).astype(np.int64)[0]))
-                grams.append((s if whole else s[: int(region_length(len(s), percent))]).tobytes())
+                if whole:
+                    grams.append(s.tobytes())
+                    continue
+                grams.append(None if d[-1] in seen else s[: region_length(len(s), percent)].tobytes())
+                if len(seen) < 200_000:
+                    seen.add(d[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(grams, pa.binary())], names=[*ids, "n", "d", "grams"])
 
     return docs.mapInArrow(run, schema)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, n, grams) to one row an n-gram; a batch at a time, in pieces."""
+    """(d, n, grams) to one row an n-gram, some thousand sets at once."""
     for batch in batches:
-        d, n, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        step = 2000
-        for i in range(0, len(d), step):
-            size = np.array([len(g) // 8 for g in grams[i : i + step]])
-            gram = np.frombuffer(b"".join(grams[i : i + step]), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.repeat(d[i : i + step], size))], names=["gram", "d"])
-
-
-def candidate_clusters(sets: DataFrame, percent: int, hot: int) -> DataFrame:
-    """(d, cluster) of every distinct set that may link to another one."""
-    distinct = sets.where("n > 0").select("d", "n", "grams").dropDuplicates(["d"])
-    entries = distinct.mapInArrow(_entries, "gram long, d long")
-    hits = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1")
-    hits = stage(hits.select("gram", "d", (F.col("df") > hot).alias("is_hot")), "hits")
-    # k of a set's region: region - p + 1
-    n = F.col("n")
-    p = n - F.floor((percent * n + 99) / 100) + 1
-    k = F.least(n, p + F.floor((p + 1) / 2)) - p + 1
-    burdened = hits.where("is_hot").groupBy("d").agg(F.count(F.lit(1)).alias("hot_n")).join(sets.select("d", "n").dropDuplicates(["d"]), "d").where(F.col("hot_n") > 0.8 * k - 1).select("d")
-    tied = hits.where("not is_hot").select("gram", "d").union(hits.where("is_hot").join(burdened, "d", "left_semi").select("gram", "d"))
-    least = tied.groupBy("gram").agg(F.min("d").alias("m"), F.max("d").alias("x")).where("m <> x").select("gram", F.col("m").alias("a"))
-    edges = tied.join(least, "gram").select("a", F.col("d").alias("b"))
+        for i in range(0, batch.num_rows, 2000):
+            d, n, grams = (batch.column(c).slice(i, 2000) for c in range(3))
+            grams = grams.to_pylist()
+            size = np.array([len(g) // 8 for g in grams])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(grams), np.int64)), pa.array(np.repeat(d.to_numpy(), size)), pa.array(np.repeat(n.to_numpy(), size).astype(np.int32))], names=["gram", "d", "n"])
+
+
+def _least_k(n, percent: int):
+    """The least k that a partner of a set of n n-grams can ask for: that of a partner with ceil(t n)."""
+    size = F.floor((percent * n + 99) / 100)
+    p = size - F.floor((percent * size + 99) / 100) + 1
+    return F.least(size, 2 * p) - p + 1
+
+
+def candidate_clusters(sets: DataFrame, percent: int, few: int) -> DataFrame:
+    """(d, cluster) of every set that may link to a different one."""
+    entries = sets.where("n > 0 and grams is not null").select("d", "n", "grams").mapInArrow(_entries, "gram long, d long, n int")
+    # the same set may come from several tasks: it counts once
+    by_gram = Window.partitionBy("gram").orderBy("d")
+    ranked = entries.withColumns({"again": F.row_number().over(Window.partitionBy("gram", "d").orderBy("n")), "rank": F.dense_rank().over(by_gram)})
+    hits = ranked.withColumn("df", F.max("rank").over(Window.partitionBy("gram"))).where("df > 1 and again = 1")
+    hits = stage(hits.select("gram", "d", "n", (F.col("df") > few).alias("common")), "hits")
+    stats = hits.groupBy("d").agg(F.count(F.lit(1)).alias("held"), F.count_if("common").alias("common_n"), F.first("n").alias("n"))
+    stats = stage(stats.withColumn("k", _least_k(F.col("n"), percent)).where("held >= k").select("d", "common_n", "k", "n"), "stats")
+    kept = hits.join(stats.select("d", (F.col("common_n") >= F.col("k")).alias("burdened")), "d")
+
+    columns = kept.where("not common").groupBy("gram").agg(F.sort_array(F.collect_list("d")).alias("ds")).where(F.size("ds") > 1)
+    pairs = columns.select(F.explode(F.flatten(F.transform("ds", lambda a, i: F.transform(F.slice("ds", i + 2, F.size("ds")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("shared"))
+    side = lambda c: stats.select(F.col("d").alias(c), F.col("common_n").alias(f"common_{c}"), F.col("k").alias(f"k_{c}"), F.col("n").alias(f"n_{c}"))
+    # few pairs share more than one or two n-grams: drop those that no bound could keep before the bounds are looked up
+    pairs = pairs.join(side("a"), "a").where("shared >= k_a - common_a").join(side("b"), "b")
+    pairs = pairs.where("shared >= greatest(k_a, k_b) - least(common_a, common_b)").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+
+    heavy = kept.where("common and burdened").select("gram", "d")
+    least = heavy.groupBy("gram").agg(F.min("d").alias("a"), F.max("d").alias("last")).where("a < last").select("gram", "a")
+    edges = pairs.union(heavy.join(least, "gram").select("a", F.col("d").alias("b")))
     return components(edges).select(F.col("v").alias("d"), F.col("component").alias("cluster"))
 
 
@@ -180,18 +203,23 @@ def overlap_links(left: list[np.ndarray], right: list[np.ndarray], percent: int,
     return np.argwhere(live & (count >= need))
 
 
-def cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) inside clusters, thinned to a spanning forest for each pair of blocks. members: (cluster, d, n, grams)."""
-    small = members.select("cluster", "d", "n")
-    ranked = small.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("n", "d")) - 1) / block))
+def block_plan(clusters: DataFrame, percent: int, block: int) -> DataFrame:
+    """(d, cluster, tasks): the pairs of blocks (i, j, side) that each clustered set takes part in. clusters: (d, cluster, n)."""
+    ranked = clusters.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("n", "d")) - 1) / block))
     sizes = ranked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     i, j = sizes.alias("i"), sizes.alias("j")
     pairs = i.join(j, (F.col("i.cluster") == F.col("j.cluster")) & (F.col("i.block") <= F.col("j.block")) & (100 * F.col("i.high") >= percent * F.col("j.low"))).select(F.col("i.cluster").alias("cluster"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
     of = pairs.select("cluster", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).union(pairs.where("i <> j").select("cluster", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side")))
-    rows = members.join(ranked.select("d", "block"), "d").join(of, ["cluster", "block"]).select("cluster", "i", "j", "side", "d", "grams")
+    tasks = of.groupBy("cluster", "block").agg(F.collect_list(F.struct("i", "j", "side")).alias("tasks"))
+    return ranked.join(tasks, ["cluster", "block"]).select("d", "cluster", "tasks")
+
+
+def cluster_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters, thinned to a spanning forest for each pair of blocks. members: (d, cluster, tasks, grams)."""
+    rows = members.select("cluster", F.explode("tasks").alias("t"), "d", "grams").select("cluster", "t.i", "t.j", "t.side", "d", "grams")
 
     def product(part: pd.DataFrame) -> pd.DataFrame:
-        sides = [part[part["side"] == s].sort_values("d") for s in (0, 1)]
+        sides = [part[part["side"] == s].drop_duplicates("d").sort_values("d") for s in (0, 1)]
         same = not len(sides[1])
         grams = [[np.frombuffer(g, np.uint64) for g in s["grams"]] for s in sides]
         left, right = sides[0]["d"].to_numpy(), (sides[0] if same else sides[1])["d"].to_numpy()
@@ -213,7 +241,7 @@ def cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, hot: int = 64, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few: int = 8, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of docs: key, n_shingles and component_id, the least key that links of percent/100 Jaccard or more reach.
 
     A null, empty or blank text has an empty set, links with nothing and is its own component. Fewer words than `width` make one shingle.
@@ -221,15 +249,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, hot:
     Columns other than key and text are not read. An empty table gives no rows.
     """
     sets = stage(text_sets(docs, width, percent, text, [key]), "sets")
-    clusters = stage(candidate_clusters(sets, percent, hot), "clusters")
-    first = sets.where("n > 0").groupBy("d").agg(F.min(key).alias("first"))
-    # the texts of one row of each clustered set are shingled again: cheaper than keeping all sets whole
-    chosen = clusters.join(first, "d").select("first").distinct()
-    again = docs.select(key, text).join(chosen, F.col(key).eqNullSafe(F.col("first")), "left_semi")
-    members = text_sets(again, width, percent, text, [key], whole=True).drop(key).dropDuplicates(["d"]).join(clusters, "d")
-    links = cluster_links(stage(members, "members"), percent, block)
-    found = components(links)
-    vertex = first.join(found.withColumnRenamed("v", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).select("d", "root", "first")
+    first = sets.where("n > 0").groupBy("d").agg(F.min(key).alias("first"), F.first("n").alias("n"))
+    clusters = stage(candidate_clusters(sets, percent, few).join(first, "d"), "clusters")
+    # one row's text of each clustered set is shingled again, which moves less than keeping all sets whole
+    chosen = block_plan(clusters, percent, block).join(clusters.select("d", F.col("first").alias("__first")), "d")
+    again = docs.select(key, text).join(chosen, F.col(key).eqNullSafe(F.col("__first"))).select(F.col("d").alias("__d"), "cluster", "tasks", text)
+    members = text_sets(again, width, percent, text, ["__d", "cluster", "tasks"], whole=True).where("d = __d")
+    found = components(cluster_links(members, percent))
+    vertex = first.drop("n").join(found.withColumnRenamed("v", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).select("d", "root", "first")
     least = vertex.groupBy("root").agg(F.min("first").alias("component_id"))
     named = vertex.join(least, "root").select("d", "component_id")
     full = sets.where("n > 0").select(key, "n", "d").join(named, "d").select(key, F.col("n").alias("n_shingles"), "component_id")
