@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, gif, jaccard, language, pages, pii, tokens, urls
+from tessera.llm import bpe, chat, decontam, gif, jaccard, language, pages, pii, tokens, urls
 from tessera.session import ship_code
 
-_QUERIES = [language.op1_language_id, pages.op2_html_extraction, pii.op3_pii, tokens.op4_tokens, gif.op5_gif, bpe.op6_bpe, jaccard.op8_jaccard_join, decontam.op9_decontamination, urls.op10_url_filter]
+_QUERIES = [language.op1_language_id, pages.op2_html_extraction, pii.op3_pii, tokens.op4_tokens, gif.op5_gif, bpe.op6_bpe, chat.op7_preferences, jaccard.op8_jaccard_join, decontam.op9_decontamination, urls.op10_url_filter]
 
 
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_preferences": chat.OP7_SQL}
