@@ -106,7 +106,7 @@ def d08(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 50 = 0),
     a AS (SELECT CAST(l_shipdate AS DATE) AS acq, l_suppkey % 10 AS unit, avg(l_tax) * 20 AS coverage, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
     j AS (SELECT t.day, unit, a.coverage, v, date_diff('day', acq, t.day) AS lag FROM t JOIN a ON date_diff('day', acq, t.day) BETWEEN 1 AND 60),
-    f AS (SELECT day, unit, count(*) AS candidates, count(*) FILTER (coverage >= 0.8) AS qualifying, min(lag) FILTER (coverage >= 0.8) AS least_lag, max(lag) FILTER (coverage >= 0.8) AS most_lag, median(v) FILTER (coverage >= 0.8) AS v FROM j GROUP BY 1, 2)
+    f AS (SELECT day, unit, count(*) AS candidates, count(*) FILTER (coverage >= 0.8037) AS qualifying, min(lag) FILTER (coverage >= 0.8037) AS least_lag, max(lag) FILTER (coverage >= 0.8037) AS most_lag, median(v) FILTER (coverage >= 0.8037) AS v FROM j GROUP BY 1, 2)
     SELECT t.day, k.unit, coalesce(candidates, 0) AS candidates, coalesce(qualifying, 0) AS qualifying, CASE WHEN qualifying >= 3 THEN round(v, 6) END AS v FROM t CROSS JOIN (SELECT DISTINCT unit FROM a) k LEFT JOIN f ON f.day = t.day AND f.unit = k.unit
     """,
 )
@@ -117,7 +117,7 @@ def d09(spark: SparkSession, sf_dir: str) -> DataFrame:
     acquired = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("acq"), (F.col("l_suppkey") % 10).alias("unit")).agg((F.avg("l_tax") * 20).alias("coverage"), F.avg("l_quantity").alias("v"))
     membership = lag_membership(targets, acquired.select("acq").distinct(), "day", "acq", 1, 60)
     keys = targets.crossJoin(acquired.select("unit").distinct())
-    return Z.trailing_composite(acquired, membership, keys, "day", "unit", "acq", "coverage", ["v"], 0.8, 3).select("day", "unit", "candidates", "qualifying", F.round("v", 6).alias("v"))
+    return Z.trailing_composite(acquired, membership, keys, "day", "unit", "acq", "coverage", ["v"], 0.8037, 3).select("day", "unit", "candidates", "qualifying", F.round("v", 6).alias("v"))
 
 
 @query(
@@ -240,10 +240,10 @@ def d28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.groupBy("day").agg(F.count(F.lit(1)).alias("matched"), F.avg(d).alias("mean_shift"), F.median(d).alias("median_shift"), F.avg(F.abs(d)).alias("abs_shift"), F.sqrt(F.avg(d * d)).alias("rms_shift")), "mean_shift", "median_shift", "abs_shift", "rms_shift")
 
 
-@query("d29_d30_residual_cells", f"WITH {PAIRS_SQL} SELECT family, yr, l_suppkey % 8 AS block, count(*) AS n, round(avg(p - y), 4) AS mean_residual, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(y), 4) AS mean_truth, round(avg(p), 4) AS mean_prediction, count(DISTINCT day) AS dates FROM pairs GROUP BY 1, 2, 3")
+@query("d29_d30_residual_cells", f"WITH {PAIRS_SQL} SELECT family, yr, l_suppkey % 8 AS block, count(*) AS n, round(avg(p - y), 7) AS mean_residual, round(avg(abs(p - y)), 7) AS mae, round(sqrt(avg((p - y) * (p - y))), 7) AS rmse, round(avg(y), 7) AS mean_truth, round(avg(p), 7) AS mean_prediction, count(DISTINCT day) AS dates FROM pairs GROUP BY 1, 2, 3")
 def d29(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("p") - F.col("y")
-    return rounded(pairs(spark, sf_dir).groupBy("family", "yr", (F.col("l_suppkey") % 8).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean_residual"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg("y").alias("mean_truth"), F.avg("p").alias("mean_prediction"), F.countDistinct("day").alias("dates")), "mean_residual", "mae", "rmse", "mean_truth", "mean_prediction", digits=4)
+    return rounded(pairs(spark, sf_dir).groupBy("family", "yr", (F.col("l_suppkey") % 8).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean_residual"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg("y").alias("mean_truth"), F.avg("p").alias("mean_prediction"), F.countDistinct("day").alias("dates")), "mean_residual", "mae", "rmse", "mean_truth", "mean_prediction", digits=7)
 
 
 @query(
@@ -319,7 +319,7 @@ def d44(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.year("day").cast("long").alias("yr")).agg(F.count(F.lit(1)).alias("dates"), F.count_if(F.col("usable") >= 5).alias("usable_dates"), F.sum("usable").alias("model_rows"))
 
 
-@query("d48_unit_map", "WITH f AS (SELECT o_custkey, avg(o_totalprice) AS m, count(DISTINCT CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY 1) SELECT c_custkey, coalesce(d, 0) AS dates, round(m, 4) AS mean FROM customer LEFT JOIN f ON c_custkey = o_custkey")
+@query("d48_unit_map", "WITH f AS (SELECT o_custkey, avg(o_totalprice) AS m, count(DISTINCT CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY 1) SELECT c_custkey, coalesce(d, 0) AS dates, round(m, 6) AS mean FROM customer LEFT JOIN f ON c_custkey = o_custkey")
 def d48(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.countDistinct(F.to_date("o_orderdate")).alias("dates"))
+    f = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.avg("o_totalprice"), 6).alias("mean"), F.countDistinct(F.to_date("o_orderdate")).alias("dates"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(f, "c_custkey", "left").select("c_custkey", F.coalesce("dates", F.lit(0)).alias("dates"), "mean")
