@@ -27,14 +27,16 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Slots of the frequency table: 2**PRECISION.
 PRECISION = 18
-LANES = 1024
-BLOCK_TOKENS = 1 << 18
+LANES = 2048
+BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 128
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _MASK32 = np.uint64(0xFFFFFFFF)
 #: A blank between two characters that are not white space: this tokenizer's words begin there.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
+#: A blank beside other white space, or at an end of the text.
+BESIDE = re.compile(r"\s |^ | \s| \Z")
 BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, lengths array<long>, n_tokens long, lanes int, states binary, checkpoints binary, payload binary, payload_crc32 long, ids_crc32 long"
 
 
@@ -42,35 +44,51 @@ BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, leng
 
 
 class WordTable:
-    """Encodes texts with the library's tokenizer, each distinct word (with the blank before it) once; the table is bounded."""
+    """Encodes texts with the library's tokenizer, each distinct word (with the blank before it) once; the table is bounded.
 
-    def __init__(self, path: str, most: int = 1_200_000):
-        self.tokenizer, self.most, self.table = load_tokenizer(path), most, {}
+    Between a blank and a word of other than white space, after another such word, every token ends; a text in which blanks stand beside
+    white space is cut at the blanks that do not.
+    """
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+    def __init__(self, path: str, most: int = 1_200_000):
+        self.tokenizer, self.most = load_tokenizer(path), most
+        self.table: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers; what the table lacks is encoded in one go."""
+        cut = [self._words(t) for t in texts]
+        get = self.table.get
+        found = [[*map(get, words)] for words in cut]
+        missing = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if missing:
+            new = sorted(missing)
+            encoded = self.tokenizer.encode_batch_fast([w[1:] if w[0] == "\0" else " " + w for w in new], add_special_tokens=False)
+            fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
+            if len(self.table) + len(fresh) > self.most:
+                self.table.clear()
+            self.table.update(fresh)
+            found = [[fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(cut, found, strict=True)]
+        return [b"".join(ids) for ids in found]
+
+    def _words(self, text: str | None) -> list[str]:
+        """Words without the blank before them; the first one, which has none, is marked."""
         if not text:
-            return b""
-        first, *rest = BREAK.split(text)
-        words = [first, *[" " + w for w in rest]]
-        table = self.table
-        new = [w for w in dict.fromkeys(words) if w not in table]
-        if new:
-            if len(table) + len(new) > self.most:
-                table.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(table.__getitem__, words))
+            return []
+        words = BREAK.split(text) if BESIDE.search(text) else text.split(" ")
+        words[0] = "\0" + words[0]
+        return words
+
+
+_PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(ids: np.ndarray) -> bytes:
     """Ids for the way between tasks: byte planes under zstd."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
+    return _PRESS.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_UNPRESS.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
@@ -82,12 +100,10 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         words = once_a_worker(WordTable, path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            n, packed = [], []
-            for value in batch.column(2):
-                ids = np.frombuffer(words.encode(value.as_py()) + end, "<u4")
-                n.append(len(ids))
-                packed.append(pack(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=[key, "part", "n", "ids"])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                ids = [np.frombuffer(b + end, "<u4") for b in words.encode_all(part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())], names=[key, "part", "n", "ids"])
 
     return docs.select(key, "part", text).mapInArrow(run, f"`{key}` {kind}, part int, n long, ids binary")
 
