@@ -50,12 +50,16 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: correlation, null where a side is constant (the built-in one divides by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, n, rho): rank correlation; null with fewer than two rows or a constant side. Rows with a null on either side don't count."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    varied = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.corr("rx", "ry")).alias("rho"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rho"))
 
 
 def top_share(df: DataFrame, by: list[str], score: str, unit: str, share: float, name: str = "hot") -> DataFrame:
