@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,6 @@ _32 = np.uint64(32)
 _MASK32 = np.uint64(0xFFFFFFFF)
 #: A blank between two characters that are not white space: this tokenizer's words begin there.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
-#: A blank beside other white space, or at an end of the text.
-BESIDE = re.compile(r"\s |^ | \s| \Z")
 BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, lengths array<long>, n_tokens long, lanes int, states binary, checkpoints binary, payload binary, payload_crc32 long, ids_crc32 long"
 
 
@@ -61,24 +60,49 @@ class WordTable:
         found = [[*map(get, words)] for words in cut]
         missing = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         if missing:
-            new = sorted(missing)
-            encoded = self.tokenizer.encode_batch_fast([w[1:] if w[0] == "\0" else " " + w for w in new], add_special_tokens=False)
-            fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
+            fresh = self._encode(sorted(missing))
+            if len(fresh) < len(missing):  # words with white space at an end: cut their texts with care
+                recut = [BREAK.split(t) if t and not fresh.keys() >= {w for w, i in zip(words, ids, strict=True) if i is None} else None for t, words, ids in zip(texts, cut, found, strict=True)]
+                for n, words in enumerate(recut):
+                    if words is not None:
+                        words[0] = "\0" + words[0]
+                        again = self._encode([w for w in dict.fromkeys(words) if w not in self.table and w not in fresh], any_form=True)
+                        found[n] = [get(w) or fresh.get(w) or again[w] for w in words]
             if len(self.table) + len(fresh) > self.most:
                 self.table.clear()
-            self.table.update(fresh)
             found = [[fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(cut, found, strict=True)]
+            self.table.update(fresh)
         return [b"".join(ids) for ids in found]
 
     def _words(self, text: str | None) -> list[str]:
         """Words without the blank before them; the first one, which has none, is marked."""
-        if not text:
-            return []
-        words = BREAK.split(text) if BESIDE.search(text) else text.split(" ")
-        words[0] = "\0" + words[0]
+        words = text.split(" ") if text else []
+        if words:
+            words[0] = "\0" + words[0]
         return words
 
+    def _encode(self, words: list[str], any_form: bool = False) -> dict[str, bytes]:
+        """Ids of new words. Words of letters alone go to the library's model directly, others through the whole tokenizer; a word with white space at an end, or none at all, is left out unless any form will do."""
+        out: dict[str, bytes] = {}
+        rest, model = [], self.tokenizer.model
+        for w in words:
+            if w.isalpha():
+                out[w] = array("I", [t.id for t in model.tokenize("\u0120" + "".join(map(BYTE_CHARS.__getitem__, w.encode())))]).tobytes()
+            elif any_form or w not in ("", "\0") and not (w[0] == "\0" and w[1].isspace()) and not w[0].isspace() and not w[-1].isspace():
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\0" else " " + w for w in rest], add_special_tokens=False), strict=True):
+            out[w] = array("I", e.ids).tobytes()
+        return out
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    extra = iter(range(256, 512))
+    return [chr(b if b in plain else next(extra)) for b in range(256)]
+
 
+BYTE_CHARS = byte_characters()
 _PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
