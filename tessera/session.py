@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long: hand them to Python workers in batches of so many rows, unless the session has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a Spark context; for sessions that were not submitted with it."""
     context = spark.sparkContext
