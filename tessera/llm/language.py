@@ -122,7 +122,7 @@ def decide(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
     return lang, score
 
 
-def predict_texts(model: LanguageModel, texts: list[str | None], most: int = 2_000_000) -> tuple[list[str], list[float]]:
+def predict_texts(model: LanguageModel, texts: list[str | None], most: int = 1_000_000) -> tuple[list[str], list[float]]:
     """lang_pred and score of each text; `und` and 0 for a null or a text without a letter. Works through about `most` n-grams at once."""
     out, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not model.languages:
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             lang, score = predict_texts(sent.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
