@@ -103,7 +103,7 @@ def text_sets(docs: DataFrame, width: int, percent: int, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         seen: set[int] = set()  # sets whose region this task has given already; bounded
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             n, d, grams = [], [], []
             for s in shingler.sets(batch.column(len(ids)).to_pylist()):
                 n.append(len(s))
@@ -175,7 +175,8 @@ def overlap_links(left: list[np.ndarray], right: list[np.ndarray], percent: int,
     count = np.zeros(live.shape, np.float32)
     if live.any():
         column, inverse = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-        row = np.concatenate([np.repeat(np.arange(len(left)), a), np.repeat(np.arange(len(right)), b)])
+        inverse = inverse.astype(np.int32)
+        row = np.concatenate([np.repeat(np.arange(len(left), dtype=np.int32), a), np.repeat(np.arange(len(right), dtype=np.int32), b)])
         side = np.concatenate([np.zeros(a.sum(), bool), np.ones(b.sum(), bool)])
         # only columns that both sides have count
         used = np.zeros(len(column), np.int8)
@@ -241,7 +242,7 @@ def cluster_links(members: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few: int = 8, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few: int = 8, block: int = 128, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of docs: key, n_shingles and component_id, the least key that links of percent/100 Jaccard or more reach.
 
     A null, empty or blank text has an empty set, links with nothing and is its own component. Fewer words than `width` make one shingle.
@@ -255,7 +256,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few:
     chosen = block_plan(clusters, percent, block).join(clusters.select("d", F.col("first").alias("__first")), "d")
     again = docs.select(key, text).join(chosen, F.col(key).eqNullSafe(F.col("__first"))).select(F.col("d").alias("__d"), "cluster", "tasks", text)
     members = text_sets(again, width, percent, text, ["__d", "cluster", "tasks"], whole=True).where("d = __d")
-    found = components(cluster_links(members, percent))
+    found = components(cluster_links(members, percent), thin=False)
     vertex = first.drop("n").join(found.withColumnRenamed("v", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).select("d", "root", "first")
     least = vertex.groupBy("root").agg(F.min("first").alias("component_id"))
     named = vertex.join(least, "root").select("d", "component_id")

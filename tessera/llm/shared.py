@@ -92,14 +92,16 @@ def _local_forest(edges):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=batch.schema.field(i).type) for i in (0, 1)], ["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, thin: bool = True, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list (a, b): rows (v, component) for each vertex with an edge, component the least vertex.
 
     Alternates large-star and small-star steps, which shrink the longest path by a constant factor a round; each step is a group
-    minimum and a join on the vertex. A hub's edges are aggregated before they are shuffled. Vertices may be of any orderable type.
+    minimum and a join on the vertex. A hub's edges are aggregated before they are shuffled. Vertices may be of any orderable type. With
+    `thin`, each partition's edges are first cut down to a spanning forest; edges that are one already need no Python worker for it.
     """
     edges = edges.select("a", "b").where("a <> b")
-    edges = edges.mapInArrow(_local_forest, edges.schema)
+    if thin:
+        edges = edges.mapInArrow(_local_forest, edges.schema)
     edges = stage(edges.distinct(), "edges")
     for _ in range(max_rounds):
         # large-star: every neighbour above v, and v itself, go to the least of v and its neighbours
