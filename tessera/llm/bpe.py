@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ def cut_points(points: np.ndarray, window: int = 32, bits: int = 9) -> list[int]
 class ChunkEncoder:
     """Encodes texts as the tokenizer does. Ids are little-endian unsigned 32-bit bytes until a text is done."""
 
-    def __init__(self, path: str, bits: int = 9, most_chunks: int = 30_000, most_words: int = 1_000_000):
+    def __init__(self, path: str, bits: int = 9, most_chunks: int = 8_000, most_words: int = 500_000):
         self.tokenizer, self.bits, self.most_chunks, self.most_words = load_tokenizer(path), bits, most_chunks, most_words
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -85,8 +86,10 @@ class ChunkEncoder:
         new = [w for w in dict.fromkeys(words) if w not in table]
         if new:
             if len(table) + len(new) > self.most_words:
-                table.clear()
-                new = list(dict.fromkeys(words))
+                # the words met first are the commonest: the later half goes
+                for w in [*islice(reversed(table), len(table) // 2)]:
+                    del table[w]
+                new = [w for w in dict.fromkeys(words) if w not in table]
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 table[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(table.__getitem__, words))
