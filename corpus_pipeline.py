@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, jaccard, language, pii
 from tessera.llm.shared import stage
-from tessera.session import ship_code
+from tessera.session import ship_code, small_batches
 
 #: A document stays if it is in one of the learned languages with at least this score. Real text of those scores far above it.
 LEAST_SCORE = 0.2
 
 
+def ready(spark: SparkSession) -> None:
+    ship_code(spark)
+    small_batches(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a learned language; texts without a letter, nulls and texts that no language claims go."""
-    ship_code(spark)
+    ready(spark)
     judged = language.identify(docs, language.train_language_model(docs))
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group of near copies, and one of its repeated rows."""
-    ship_code(spark)
+    ready(spark)
     found = jaccard.jaccard_components(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
@@ -34,13 +39,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which no benchmark item occurs."""
-    ship_code(spark)
+    ready(spark)
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put [KIND] in the place of personal data; n_chars follows the text."""
-    ship_code(spark)
+    ready(spark)
     found = pii.candidates(docs)
     masked = pii.mask(pii.classify(found, pii.fit(found)))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -48,7 +53,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add each document's token count and the digests of its ids and of what they decode to."""
-    ship_code(spark)
+    ready(spark)
     return bpe.encode_texts(docs, bpe.tokenizer_path(bpe.TOKENIZER))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, chat, decontam, gif, jaccard, language, pages, pii, tokens, urls
-from tessera.session import ship_code
+from tessera.session import ship_code, small_batches
 
 _QUERIES = [language.op1_language_id, pages.op2_html_extraction, pii.op3_pii, tokens.op4_tokens, gif.op5_gif, bpe.op6_bpe, chat.op7_preferences, jaccard.op8_jaccard_join, decontam.op9_decontamination, urls.op10_url_filter]
 
@@ -15,6 +15,7 @@ _QUERIES = [language.op1_language_id, pages.op2_html_extraction, pii.op3_pii, to
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_code(spark)
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run
