@@ -3,11 +3,11 @@
 Pages are read into blocks of text. The token streams of a host's pages (outside the article's own prose) are concatenated and their suffixes
 sorted by prefix doubling; neighbours of two distinct pages that share a long enough prefix mark repeated runs. Blocks that such runs cover, or
 that stand word for word on another page of the host, are boilerplate; unique runs stay. The article's own prose is never taken out by
-repetition alone (copied articles and quoted passages are content), and markup that says what it is (menus, forms, adverts) goes even where
-it is unique.
+repetition alone (copied articles and quoted passages are content), and markup that says what it is (menus, forms, adverts)
+goes even where it is unique.
 
-A host of any size is dealt out in groups of a few hundred pages, each with an array of its own; what the groups find is pooled by the
-blocks' fingerprints, which also joins repeats that no group saw twice.
+A host of any size is dealt out in groups of a few hundred pages, each with an array of its own. What one array saw on a single page is pooled
+over the host by hashes of all windows and blocks, so how a host is dealt does not show in the result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stage
+from tessera.llm.shared import BASE, mix, stage
 from tessera.llm.urls import split_url
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)/?>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
@@ -41,8 +41,8 @@ NOISE = frozenset("nav header footer aside form button select option menu templa
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing social related recommended widget login signup search pagination pager toolbar skip alert complementary contentinfo".split()
 )
-#: What a block is: noise by its markup; the article's prose; loose text inside the article; text outside it.
-NOISE_BLOCK, PROSE_BLOCK, LOOSE_BLOCK, OUTER_BLOCK = 0, 1, 2, 3
+#: What a block is: noise by its markup; the article's prose; loose text inside the article; text outside it; paragraphs and the like outside it.
+NOISE_BLOCK, PROSE_BLOCK, LOOSE_BLOCK, OUTER_BLOCK, OUTER_PROSE_BLOCK = 0, 1, 2, 3, 4
 
 
 def read_blocks(page: str | None) -> tuple[list[tuple[str, int]], bool]:
@@ -72,7 +72,7 @@ def read_blocks(page: str | None) -> tuple[list[tuple[str, int]], bool]:
         if noise and not (inside and noise <= {"header"} and HEADING.intersection(names)):
             return NOISE_BLOCK
         if not inside:
-            return OUTER_BLOCK
+            return OUTER_PROSE_BLOCK if PROSE.intersection(names) else OUTER_BLOCK
         return PROSE_BLOCK if PROSE.intersection(names) else LOOSE_BLOCK
 
     at = 0
@@ -118,8 +118,21 @@ def read_blocks(page: str | None) -> tuple[list[tuple[str, int]], bool]:
     return blocks, marked
 
 
+class _Hashes(dict):
+    """Hash of each word, kept while there are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = h = hash_word(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def token_ids(words: list[str]) -> np.ndarray:
-    return np.array([hash_word(w) for w in words], np.int64)
+    return np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
 
 
 def hash_word(word: str) -> int:
@@ -128,6 +141,26 @@ def hash_word(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def window_keys(ids: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of `length` tokens."""
+    n = len(ids) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h, x = np.zeros(n, np.uint64), ids.view(np.uint64)
+    for i in range(length):
+        h = h * BASE + x[i : i + n]
+    return mix(h).view(np.int64)
+
+
+def covered_tokens(hit: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Which of n tokens lie in a marked window."""
+    step = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(hit)
+    step[at] += 1
+    step[at + length] -= 1
+    return np.cumsum(step)[:-1] > 0
+
+
 def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
     """Rank of every suffix by its first `length` tokens (a power of two), by prefix doubling: equal ranks, equal prefixes."""
     rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
@@ -139,8 +172,8 @@ def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def repeated_positions(streams: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each page's stream, which tokens lie in a run of `length` or more that another stream has too.
+def repeated_windows(streams: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """For each page's stream, which of its runs of `length` tokens another stream has too.
 
     The streams are concatenated with a token of its own after each; suffixes sorted by rank stand next to those that share their prefix.
     """
@@ -159,64 +192,107 @@ def repeated_positions(streams: list[np.ndarray], length: int) -> list[np.ndarra
     least, most = p[first], p[np.append(np.flatnonzero(first)[1:] - 1, len(p) - 1)]
     hit = np.zeros(len(whole), bool)
     hit[order] = (least != most)[group]
-    # a run may not go over the end of its page
-    last = np.cumsum(size + 1)[page] - 1
-    hit &= np.arange(len(whole)) + length <= last
-    cover = np.zeros(len(whole) + 1, np.int64)
-    cover[np.flatnonzero(hit)] += 1
-    np.subtract.at(cover, np.minimum(np.flatnonzero(hit) + length, len(whole)), 1)
-    covered = np.cumsum(cover)[:-1] > 0
     start = np.cumsum(size + 1) - size - 1
-    return [covered[a : a + n] for a, n in zip(start, size, strict=True)]
+    # a run may not go over the end of its page
+    return [hit[a : a + max(0, n - length + 1)] for a, n in zip(start, size, strict=True)]
+
+
+def repeated_positions(streams: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """For each page's stream, which tokens lie in a run of `length` or more that another stream has too."""
+    return [covered_tokens(hit, len(s), length) for s, hit in zip(streams, repeated_windows(streams, length), strict=True)]
+
+
+def read_streams(page: str | None) -> tuple[list[tuple[str, int]], bool, list[int], list[int]]:
+    """Blocks, whether the article is marked, and the places of the blocks outside the article's prose and of those that are prose.
+
+    A paragraph outside any marked article is in both.
+    """
+    blocks, marked = read_blocks(page)
+    outer = [i for i, (_, kind) in enumerate(blocks) if kind != PROSE_BLOCK]
+    prose = [i for i, (_, kind) in enumerate(blocks) if kind == PROSE_BLOCK or kind == OUTER_PROSE_BLOCK and not marked]
+    return blocks, marked, outer, prose
+
+
+def stream_keys(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token counts of the blocks, the hashes of the windows of their stream, and those of the blocks."""
+    words = [t.split() for t in texts]
+    ids = token_ids([w for ws in words for w in ws])
+    return np.array([len(w) for w in words], np.int64), window_keys(ids, length), np.array([hash_word(t) for t in texts], np.int64)
+
+
+def known_blocks(texts: list[str], keys: np.ndarray, length: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Token count of each block, and whether its hash is among the keys or windows among them cover `share` of it."""
+    sizes, windows, prints = stream_keys(texts, length)
+    seen = covered_tokens(np.isin(windows, keys), int(sizes.sum()), length)
+    ends = np.cumsum(sizes)
+    part = np.array([seen[e - n : e].mean() if n else 0.0 for e, n in zip(ends, sizes, strict=True)])
+    return sizes, np.isin(prints, keys) | (part >= share)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page) and its blocks outside the article's prose: their places, token counts, fingerprints and tokens, packed."""
+    """(host, page), and the tokens and hashes of its blocks outside the article's prose."""
     for batch in batches:
-        places, lengths, prints, tokens = [], [], [], []
+        prints, tokens = [], []
         for page in batch.column(2).to_pylist():
-            kept = [(i, text) for i, (text, kind) in enumerate(read_blocks(page)[0]) if kind != PROSE_BLOCK]
-            words = [t.split() for _, t in kept]
-            places.append([i for i, _ in kept])
-            lengths.append([len(w) for w in words])
-            prints.append([hash_word(t) for _, t in kept])
-            tokens.append(token_ids([w for ws in words for w in ws]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["host", "page", "places", "lengths", "prints", "tokens"])
-
-
-def boilerplate(pages: DataFrame, length: int = 8, share: float = 0.8, group: int = 256) -> DataFrame:
-    """(page, removed): the places of a page's blocks that repeat over its host. pages: (host, page, html)."""
-    streams = stage(pages.select("host", "page", "html").mapInArrow(_streams, "host string, page long, places array<int>, lengths array<int>, prints array<long>, tokens binary"), "streams")
+            blocks, _, outer, _ = read_streams(page)
+            prints.append([hash_word(blocks[i][0]) for i in outer])
+            tokens.append(token_ids([w for i in outer for w in blocks[i][0].split()]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["host", "page", "prints", "tokens"])
+
+
+def repeated_keys(streams: DataFrame, length: int, group: int) -> DataFrame:
+    """(page, known, pooled): hashes of the windows and blocks of a page, outside its prose, that another page of the host has too.
+
+    Known are those that the page's own array saw twice, pooled those that only other arrays saw.
+    """
     counts = streams.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     dealt = streams.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("page"), F.ceil(F.col("host_pages") / group)))
 
     def array(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("page")
-        covered = repeated_positions([np.frombuffer(t, np.int64) for t in part["tokens"]], length)
-        out = []
-        for host, page, places, lengths, prints, seen in zip(part["host"], part["page"], part["places"], part["lengths"], part["prints"], covered, strict=True):
-            at = 0
-            for place, n, fingerprint in zip(places, lengths, prints, strict=True):
-                out.append((host, page, place, fingerprint, bool(n and seen[at : at + n].mean() >= share)))
-                at += n
-        return pd.DataFrame(out, columns=["host", "page", "place", "fingerprint", "run"])
-
-    blocks = stage(dealt.groupBy("host", "salt").applyInPandas(array, "host string, page long, place int, fingerprint long, run boolean"), "blocks")
-    found = blocks.groupBy("host", "fingerprint").agg(F.max("run").alias("any_run"), F.min("page").alias("a"), F.max("page").alias("b")).where("any_run or a <> b").select("host", "fingerprint")
-    gone = blocks.join(found, ["host", "fingerprint"], "left_semi")
-    return gone.groupBy("page").agg(F.collect_set("place").alias("removed"))
+        tokens = [np.frombuffer(t, np.int64) for t in part["tokens"]]
+        prints = [np.unique(np.array(p, np.int64)) for p in part["prints"]]
+        block, times = np.unique(np.concatenate(prints), return_counts=True)
+        twice = block[times > 1]
+        out, named = [], set()
+        for host, page, ids, own, hit in zip(part["host"], part["page"], tokens, prints, repeated_windows(tokens, length), strict=True):
+            keys = window_keys(ids, length)
+            again = np.isin(own, twice)
+            known = np.unique(np.concatenate([keys[hit], own[again]]))
+            # a class of equal windows is named once an array, whatever the number of its pages
+            new = [k for k in known.tolist() if k not in named]
+            named.update(new)
+            out.append((host, page, known, np.unique(np.concatenate([keys[~hit], own[~again]])), new))
+        return pd.DataFrame(out, columns=["host", "page", "known", "open", "named"])
+
+    runs = stage(dealt.groupBy("host", "salt").applyInPandas(array, "host string, page long, known array<long>, open array<long>, named array<long>"), "runs")
+    left = runs.select(F.xxhash64("host").alias("host"), "page", F.explode("open").alias("key"))
+    named = runs.select(F.xxhash64("host").alias("host"), F.explode("named").alias("key")).withColumns({"a": F.lit(0).cast("long"), "b": F.lit(1).cast("long")})
+    found = left.select("host", "key", F.col("page").alias("a"), F.col("page").alias("b")).unionByName(named).groupBy("host", "key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("host", "key")
+    pooled = left.join(stage(found, "found"), ["host", "key"], "left_semi").groupBy("page").agg(F.collect_list("key").alias("pooled"))
+    return runs.select("page", "known").join(pooled, "page", "left")
+
+
+def removed_blocks(blocks: list[tuple[str, int]], marked: bool, outer: list[int], repeated: np.ndarray, length: int, share: float) -> set[int]:
+    """The places of a page's blocks that repetition takes out."""
+    removed = set()
+    if len(repeated):
+        _, known = known_blocks([blocks[i][0] for i in outer], repeated, length, share)
+        removed = {i for i, k in zip(outer, known, strict=True) if k}
+    return removed
 
 
 def main_text(page: str | None, removed: set[int]) -> tuple[str, int, int]:
     """The article's text, and how many blocks repetition and markup took out."""
-    blocks, marked = read_blocks(page)
+    return text_of(*read_blocks(page), removed)
+
+
+def text_of(blocks: list[tuple[str, int]], marked: bool, removed: set[int]) -> tuple[str, int, int]:
     kept, repeated, noise = [], 0, 0
     for i, (text, kind) in enumerate(blocks):
-        if kind == PROSE_BLOCK:
-            kept.append(text)
-        elif i in removed:
+        if i in removed:
             repeated += 1
-        elif kind == NOISE_BLOCK or kind == OUTER_BLOCK and marked:
+        elif kind == NOISE_BLOCK or kind in (OUTER_BLOCK, OUTER_PROSE_BLOCK) and marked:
             noise += 1
         else:
             kept.append(text)
@@ -227,18 +303,26 @@ def extract(pages: DataFrame, length: int = 8, share: float = 0.8, group: int =
     """(page_id, url, text, n_chars, n_repeated, n_noise) of every page.
 
     A null or empty page has an empty text. A null url is a host of its own (the empty one). Rows repeated word for word count as one page in
-    the search for repeats and each get their text; other columns are not read; an empty table gives no rows.
+    the search for repeats and each get their text; other columns
+    are not read; an empty table gives no rows. `length` is a power of two; `group` deals out the work and does not change the result.
     """
     host, _ = split_url(F.col("url"))
-    pages = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
-    removed = boilerplate(pages, length, share, group)
+    pages = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
+    streams = stage(pages.select("host", "page", "html").mapInArrow(_streams, "host string, page long, prints array<long>, tokens binary"), "streams")
+    repeated = repeated_keys(streams, length, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        values = lambda x: x.values.to_numpy() if x.is_valid else none
         for batch in batches:
-            rows = [main_text(page, set(gone or ())) for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = []
+            for page, known, pooled in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                blocks, marked, outer, _ = read_streams(page)
+                gone = removed_blocks(blocks, marked, outer, np.concatenate([values(known), values(pooled)]), length, share)
+                rows.append(text_of(blocks, marked, gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[0]) for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)]], names=["page_id", "url", "text", "n_chars", "n_repeated", "n_noise"])
 
-    joined = pages.join(removed, "page", "left").select("page_id", "url", "html", "removed")
+    joined = pages.join(repeated, "page", "left").select("page_id", "url", "html", "known", "pooled")
     return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_repeated long, n_noise long")
 
 

@@ -81,6 +81,18 @@ def test_repeated_positions_against_all_windows():
         assert all((g == w).all() for g, w in zip(got, want))
 
 
+def words(seed: str, n: int) -> str:
+    return " ".join(hashlib.md5(f"{seed}-{k}".encode()).hexdigest()[:6] for k in range(n))
+
+
+def test_a_run_on_two_pages_is_found_however_the_host_is_dealt(spark):
+    # two of 40 pages share a run of 12 tokens; their blocks differ in one word
+    rows = [(i, f"http://h.org/{i}", f"<div>{words(f'own{i}', 30)}</div>" + (f"<div>{words('shared', 12)} p{i}</div>" if i in (3, 29) else "")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{(r["page_id"], r["text"], r["n_repeated"]) for r in pages.extract(df, group=g).collect()} for g in (1, 5, 1000)]
+    assert got[0] == got[1] == got[2] == {(i, words(f"own{i}", 30), int(i in (3, 29))) for i in range(40)}
+
+
 def test_host_repeats_go_and_unique_runs_stay(spark):
     body = lambda i: f"<div>home about contact imprint press jobs login help</div><div>story number {i} {' '.join(hashlib.md5(f'{i}-{k}'.encode()).hexdigest()[:6] for k in range(12))}</div>"
     rows = [(i, f"http://h.org/{i}", body(i)) for i in range(6)] + [(6, "http://h.org/0", body(0)), (7, None, None), (8, "x", ""), (0, "http://h.org/0", body(0))]
