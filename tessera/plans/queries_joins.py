@@ -40,17 +40,23 @@ def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.assemble(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), [(o, ["l_orderkey"])]).select("l_orderkey", "l_linenumber", "o_orderpriority", (~F.col("missing_0")).alias("matched"))
 
 
-@query(
-    "c04_c05_predictor_frame",
-    """
+_C04 = """
     WITH k AS (SELECT d.day, c.c_custkey AS unit FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE ts < TIMESTAMP '2024-01-06') d, customer c),
     v AS (SELECT user_id AS unit, CAST(ts AS DATE) AS day, avg(value) AS a, count(*) AS b FROM events GROUP BY 1, 2)
     SELECT k.day, k.unit, c_acctbal, round(a, 6) AS a, a IS NULL AS missing FROM k JOIN customer ON unit = c_custkey LEFT JOIN v USING (day, unit)
-    """,
-)
+    """
+
+
+@query("c04_c05_predictor_frame", _C04)
 def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c04_all(spark, sf_dir, "ts < timestamp '2024-01-06'")
+
+
+@query("c04_c05_predictor_frame_all", _C04.replace(" WHERE ts < TIMESTAMP '2024-01-06'", ""))
+def c04_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Over all days of the events."""
     ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    keys = J.key_universe(ev.where(F.col("ts") < F.lit("2024-01-06").cast("timestamp")).select("day").distinct(), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit")))
+    keys = J.key_universe(ev.where(where).select("day").distinct(), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit")))
     static = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit"), "c_acctbal")
     values = ev.groupBy(F.col("user_id").alias("unit"), "day").agg(F.round(F.avg("value"), 6).alias("a"))
     return J.assemble(keys, [(static, ["unit"]), (values, ["day", "unit"])]).select("day", "unit", "c_acctbal", "a", F.col("missing_1").alias("missing"))
@@ -61,12 +67,18 @@ def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.key_universe(table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct(), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit"), "n_regionkey"))
 
 
-@query(
-    "c08_c09_lag_membership",
-    "WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS target FROM orders WHERE o_orderkey % 40 = 0), a AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS acquired FROM lineitem) SELECT target, acquired, date_diff('day', acquired, target) AS lag FROM t, a WHERE date_diff('day', acquired, target) BETWEEN 1 AND 60",
-)
+_C08 = "WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS target FROM orders WHERE o_orderkey % 40 = 0), a AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS acquired FROM lineitem) SELECT target, acquired, date_diff('day', acquired, target) AS lag FROM t, a WHERE date_diff('day', acquired, target) BETWEEN 1 AND 60"
+
+
+@query("c08_c09_lag_membership", _C08)
 def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.to_date("o_orderdate").alias("target")).distinct()
+    return c08_all(spark, sf_dir, "o_orderkey % 40 = 0")
+
+
+@query("c08_c09_lag_membership_all", _C08.replace(" WHERE o_orderkey % 40 = 0", ""))
+def c08_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Over all target dates."""
+    t = table(spark, sf_dir, "orders").where(where).select(F.to_date("o_orderdate").alias("target")).distinct()
     a = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("acquired")).distinct()
     return J.lag_membership(t, a, "target", "acquired", 1, 60).select("target", "acquired", F.col("lag").cast("long").alias("lag"))
 

@@ -52,17 +52,23 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("user_id", "day", *[F.round(c, 6).alias(c) for k in (1, 3, 7) for c in (f"v_mean_{k}d", f"n_sum_{k}d")])
 
 
-@query(
-    "e04_lags_at_targets",
-    f"""
+_E04 = f"""
     WITH {DAILY_SQL}, t AS (SELECT DISTINCT user_id, day + 2 AS day FROM daily WHERE user_id % 3 = 0),
     j AS (SELECT t.user_id, t.day, count(d.v) AS c, avg(d.v) AS m FROM t LEFT JOIN daily d ON d.user_id = t.user_id AND d.day BETWEEN t.day - 3 AND t.day - 1 GROUP BY 1, 2)
     SELECT user_id, CAST(day AS DATE) AS day, CAST(day - 3 AS DATE) AS first_day, CAST(day - 1 AS DATE) AS last_day, c AS days_present, c = 3 AS complete, round(CASE WHEN c = 3 THEN m END, 6) AS mean FROM j
-    """,
-)
+    """
+
+
+@query("e04_lags_at_targets", _E04)
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e04_all(spark, sf_dir, "user_id % 3 = 0")
+
+
+@query("e04_lags_at_targets_all", _E04.replace(" WHERE user_id % 3 = 0", ""))
+def e04_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """For all users."""
     d = daily(spark, sf_dir)
-    targets = d.where("user_id % 3 = 0").select("user_id", F.date_add("day", 2).alias("day"))
+    targets = d.where(where).select("user_id", F.date_add("day", 2).alias("day"))
     return W.trailing_at(d, targets, "user_id", "day", "v", 3).withColumn("mean", F.round("mean", 6))
 
 
