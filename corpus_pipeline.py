@@ -13,7 +13,7 @@ from tessera.llm import bpe, decontam, jaccard, language, pii
 from tessera.llm.shared import stage
 from tessera.session import ship_code, small_batches
 
-#: A document stays if it is in one of the learned languages with at least this score. Real text of those scores far above it.
+#: A document stays if a learned language claims it, with at least this score. What no language claims has `und`; among four languages a claimed text scores above.
 LEAST_SCORE = 0.2
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, catalog, chat, decontam
+from tessera.llm import bpe, catalog, chat, decontam, language
 from tests.llm.test_text_operators import base_spans, brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +32,21 @@ def test_pipeline_against_brute_force(spark):
     assert set(got.columns) >= set(docs.columns)
 
 
+def test_texts_of_no_learned_language_go_and_all_others_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(4)
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(80))
+    finnish = "Suomen kieli kuuluu uralilaisten kielten itämerensuomalaiseen ryhmään, jonka edustajia puhutaan Itämeren rannoilla ja myös Venäjän puolella."
+    russian = "Русский язык является одним из крупнейших языков мира по числу носителей."
+    odd = [("odd", t, "en", 900_000 + i) for i, t in enumerate((letters, finnish, russian))]
+    more = spark.createDataFrame(odd, "source string, text string, lang string, doc_id long").select(*[F.col(c).cast(docs.schema[c].dataType) if c in ("source", "text", "lang", "doc_id") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    model = language.train_language_model(docs)
+    judged = language.identify(docs.unionByName(more), model).select("doc_id", "text", "lang_pred").collect()
+    assert {r["doc_id"] for r in judged if r["lang_pred"] == "und"} == {900_000, 900_001, 900_002} | {r["doc_id"] for r in judged if not r["text"] or not language.LETTER.search(r["text"])}
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(more.withColumn("lang", F.lit(None).cast("string"))), SF)
+    assert kept.where("doc_id >= 900000").count() == 0
+
+
 def test_preferences_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
