@@ -38,11 +38,17 @@ def trailing_at(daily: DataFrame, targets: DataFrame, unit: str, day: str, value
     return found.select(unit, day, F.date_sub(day, n).alias("first_day"), F.date_sub(day, 1).alias("last_day"), "days_present", (F.col("days_present") == n).alias("complete"), "mean")
 
 
-def dense_calendar(daily: DataFrame, unit: str, day: str) -> DataFrame:
-    """One row for every day between a unit's first and last, missing ones with nulls and `observed` false."""
+def dense_calendar(daily: DataFrame, unit: str, day: str, whole_years: bool = False) -> DataFrame:
+    """One row for every day between a unit's first and last (of their years with `whole_years`), missing ones with nulls and `observed` false.
+
+    `leap_gap` marks a missing 31 December of a leap year: sources with 365 days a year leave it out.
+    """
     span = daily.groupBy(unit).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    if whole_years:
+        span = span.select(unit, F.make_date(F.year("a"), F.lit(1), F.lit(1)).alias("a"), F.make_date(F.year("b"), F.lit(12), F.lit(31)).alias("b"))
     grid = span.select(unit, F.explode(F.sequence("a", "b")).alias(day))
-    return grid.join(daily.withColumn("observed", F.lit(True)), [unit, day], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
+    dense = grid.join(daily.withColumn("observed", F.lit(True)), [unit, day], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
+    return dense.withColumn("leap_gap", ~F.col("observed") & (F.dayofyear(day) == 366))
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -115,21 +121,32 @@ def gap_sessions(df: DataFrame, by: list[str], ts: str, item: str, gap_seconds:
     return df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def span_sessions(df: DataFrame, by: list[str], ts: str, item: str, span_seconds: int) -> DataFrame:
+def span_sessions(df: DataFrame, by: list[str], ts: str, item: str, span_seconds: int, path: str | None = None, row: str | None = None, date: str | None = None) -> DataFrame:
     """(by, item, session): a new group where the time since the group's first row is over the span.
 
-    The start depends on the row before it, so the state folds over each group's ordered times; a group is one platform and date.
-    """
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.unix_timestamp(ts).alias("t"), F.col(item).alias("id")))).alias("rows"))
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    With `path` and `row`, also where no member of the group is within one of both; what is no whole number is next to nothing. With `date`, one
+    of `by`, adds `ambiguous`: whether the date has more than one group, over all values of the other columns.
 
-    def step(acc: Column, row: Column) -> Column:
-        new = acc["start"].isNull() | (row["t"] - acc["start"] > span_seconds)
+    Start and members depend on the rows before, so the state folds over each group's ordered times; a group is one platform and date.
+    """
+    place = [F.expr(f"try_cast(`{c}` AS long)") if c else F.lit(0).cast("long") for c in (path, row)]
+    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(item).alias("id"), place[0].alias("path"), place[1].alias("row")))).alias("rows"))
+    none = F.array().cast("array<struct<path:bigint,row:bigint>>")
+    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"), none.alias("members"))
+
+    def step(acc: Column, r: Column) -> Column:
+        near = F.exists(acc["members"], lambda m: F.coalesce((F.abs(m["path"] - r["path"]) <= 1) & (F.abs(m["row"] - r["row"]) <= 1), F.lit(False)))
+        new = acc["start"].isNull() | (r["t"] - acc["start"] > span_seconds * 1_000_000) | ~near
         n = acc["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, row["t"]).otherwise(acc["start"]).alias("start"), n.alias("n"), F.array_append(acc["out"], n).alias("out"))
+        own = F.struct(r["path"].alias("path"), r["row"].alias("row"))
+        return F.struct(F.when(new, r["t"]).otherwise(acc["start"]).alias("start"), n.alias("n"), F.array_append(acc["out"], n).alias("out"), F.array_append(F.when(new, none).otherwise(acc["members"]), own).alias("members"))
 
     placed = rows.select(*by, "rows", F.aggregate("rows", zero, step)["out"].alias("out"))
-    return placed.select(*by, F.explode(F.arrays_zip("rows", "out")).alias("z")).select(*by, F.col("z.rows.id").alias(item), F.col("z.out").alias("session"))
+    if date:
+        placed = placed.withColumn("ambiguous", F.sum(F.array_max("out")).over(Window.partitionBy(date)) > 1)
+    kept = [*by, "ambiguous"] if date else by
+    found = placed.select(*kept, F.explode(F.arrays_zip("rows", "out")).alias("z"))
+    return found.select(*by, F.col("z.rows.id").alias(item), F.col("z.out").alias("session"), *kept[len(by) :])
 
 
 def merge_intervals(df: DataFrame, by: list[str], low: str, high: str) -> DataFrame:

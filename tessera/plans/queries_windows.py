@@ -80,7 +80,7 @@ def e04_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """,
 )
 def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.dense_calendar(daily(spark, sf_dir).drop("n"), "user_id", "day").withColumn("v", F.round("v", 6))
+    return W.dense_calendar(daily(spark, sf_dir).drop("n"), "user_id", "day").drop("leap_gap").withColumn("v", F.round("v", 6))
 
 
 @query(

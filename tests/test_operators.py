@@ -85,6 +85,23 @@ def test_span_sessions_count_from_the_first_row(spark):
     assert rows(W.gap_sessions(df, ["g"], "ts", "id", 900), "id", "session") == [(1, 1), (2, 1), (3, 1), (4, 1)]
 
 
+def test_span_sessions_break_where_scenes_are_not_adjacent(spark):
+    t = lambda m, us=0: dt.datetime(2024, 1, 1, 10, m, 0, us)
+    scenes = [(1, "A", t(0), "41", "36"), (2, "A", t(1), "41", "37"), (3, "A", t(2), "41", "38"), (4, "A", t(3), "44", "38"), (5, "A", t(4), "x", "38"), (6, "B", t(0), "41", "36"), (7, "B", t(15), "42", "36"), (8, "B", t(15, 1), "41", "36")]
+    df = spark.createDataFrame(scenes, "id int, platform string, ts timestamp, path string, row string").withColumn("day", F.when(F.col("id") < 6, "2024-01-01").otherwise("2024-01-02"))
+    got = W.span_sessions(df, ["platform", "day"], "ts", "id", 900, "path", "row", "day")
+    assert rows(got, "id", "session") == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 1), (7, 1), (8, 2)]
+    both = df.where("id in (1, 2, 6)").withColumn("day", F.when(F.col("id") == 2, "2024-01-03").otherwise("2024-01-01"))
+    # two platforms on one date make it ambiguous, though each has one group
+    assert rows(W.span_sessions(both, ["platform", "day"], "ts", "id", 900, "path", "row", "day"), "id", "ambiguous") == [(1, True), (2, False), (6, True)]
+
+
+def test_dense_calendar_marks_the_last_day_of_leap_years(spark):
+    df = spark.createDataFrame([(1, D(2023, 12, 30), 1.0), (1, D(2024, 12, 30), 2.0)], "unit int, day date, v double")
+    dense = W.dense_calendar(df, "unit", "day", whole_years=True)
+    assert dense.count() == 365 + 366 and rows(dense.where("leap_gap"), "day") == [(D(2024, 12, 31),)]
+
+
 def test_merge_intervals_joins_adjacent_days(spark):
     df = spark.createDataFrame([(1, D(2024, 1, 1), D(2024, 1, 3)), (1, D(2024, 1, 4), D(2024, 1, 5)), (1, D(2024, 1, 7), D(2024, 1, 8))], "g int, a date, b date")
     assert rows(W.merge_intervals(df, ["g"], "a", "b"), "a", "b", "parts") == [(D(2024, 1, 1), D(2024, 1, 5), 2), (D(2024, 1, 7), D(2024, 1, 8), 1)]
