@@ -2,13 +2,15 @@
 
 An item of m characters that occurs in a text with at most k edits leaves at least m - q + 1 - k q of its q-grams intact, all on diagonals
 (text position less item position) at most k from where it begins. So shared q-grams are counted in overlapping diagonal bands, bands
-below that count are dropped, and the rest is verified by banded alignment. Texts and items are compared lower-cased with every white-space
-character read as a blank; both changes keep positions.
+below that count are dropped, and the rest is verified by banded alignment. An item too short for q takes the longest q-grams of which
+one at least must stay, so no item is held against a text without a q-gram in common. Texts and items are compared lower-cased with every
+white-space character read as a blank; both changes keep positions.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.shared import BASE, mix
 
@@ -57,45 +60,50 @@ def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
 
 
 @dataclass
-class Items:
-    """Benchmark items with a table of their q-grams."""
+class Grams:
+    """The q-grams of all items that are sought by one q."""
 
-    ids: list
-    texts: list[str]
     q: int
-    budget: np.ndarray  # k of each item
-    least: np.ndarray  # shared q-grams asked of a band
     hashes: np.ndarray  # distinct, sorted
     starts: np.ndarray  # of each hash, into item and pos
     item: np.ndarray
     pos: np.ndarray
     bitmap: np.ndarray
-    short: list[int]  # items with fewer than q characters, or whose budget leaves no q-gram: looked for one by one
+
+
+@dataclass
+class Items:
+    """Benchmark items with tables of their q-grams."""
+
+    ids: list
+    texts: list[str]
+    budget: np.ndarray  # k of each item
+    least: np.ndarray  # shared q-grams asked of a band
+    tables: list[Grams]
 
 
 def build_items(ids: list, texts: list[str | None], q: int = 12, rate: float = 0.07) -> Items:
     texts = [fold(t or "").strip() for t in texts]
     size = np.array([len(t) for t in texts], np.int64)
     budget = np.floor(rate * size).astype(np.int64)
-    least = size - q + 1 - budget * q
-    hashes, item, pos, short = [], [], [], []
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        if least[i] < 1:
-            short.append(i)
-            continue
-        h = gram_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), q)
-        hashes.append(h)
-        item.append(np.full(len(h), i))
-        pos.append(np.arange(len(h)))
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    order = np.argsort(h, kind="stable")
-    distinct, starts = np.unique(h[order], return_index=True)
-    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    bitmap[(distinct >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
-    flat = lambda x: np.concatenate(x)[order] if x else np.zeros(0, np.int64)
-    return Items(ids, texts, q, budget, least, distinct, np.append(starts, len(h)), flat(item), flat(pos), bitmap, short)
+    # k edits cut an item in k + 1 whole parts, the longest of size // (k + 1) characters at least
+    own = np.minimum(q, size // (budget + 1))
+    least = size - own + 1 - budget * own
+    tables = []
+    for width in sorted({*own[size > 0].tolist()}):
+        hashes, item, pos = [], [], []
+        for i in np.flatnonzero((own == width) & (size > 0)).tolist():
+            h = gram_hashes(np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32), width)
+            hashes.append(h)
+            item.append(np.full(len(h), i))
+            pos.append(np.arange(len(h)))
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        distinct, starts = np.unique(h[order], return_index=True)
+        bitmap = np.zeros(1 << BITMAP_BITS, bool)
+        bitmap[(distinct >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
+        tables.append(Grams(width, distinct, np.append(starts, len(h)), np.concatenate(item)[order], np.concatenate(pos)[order], bitmap))
+    return Items(ids, texts, budget, least, tables)
 
 
 def infix_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -111,7 +119,7 @@ def infix_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 
 def verify(items: Items, i: int, text: str, low: int, high: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of item i in text, begun on a diagonal from low to high; None if it takes more edits than its budget."""
+    """(start, end, edits) of the nearest occurrence of item i in text, the first of the like, begun on a diagonal from low to high; None if it takes more edits than its budget."""
     want, k = items.texts[i], int(items.budget[i])
     a, b = max(0, low - k), min(len(text), high + len(want) + k + 1)
     region = text[a:b]
@@ -129,7 +137,10 @@ def verify(items: Items, i: int, text: str, low: int, high: int) -> tuple[int, i
 
 
 def find_in_texts(items: Items, texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text index, item index, start, end, edits) of every occurrence found, by text and item; about `most` characters at once."""
+    """(text index, item index, start, end, edits) of every occurrence found, by text, item and place; about `most` characters at once.
+
+    Of occurrences of one item that overlap in a text, the one of fewest edits stands, then the first.
+    """
     held: list[tuple[int, str]] = []
     size = 0
     for n, t in enumerate(texts):
@@ -139,50 +150,72 @@ def find_in_texts(items: Items, texts: list[str | None], most: int = 1 << 20) ->
         if held and (size >= most or n == len(texts) - 1):
             yield from _find(items, held)
             held, size = [], 0
-    if held:
-        yield from _find(items, held)
+
+
+def _apart(found: set[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Occurrences that do not overlap another of their item in their text: fewest edits first, then the first place."""
+    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for n, i, start, end, edits in sorted(found, key=lambda r: (r[0], r[1], r[4], r[2], r[3])):
+        held = taken.setdefault((n, i), [])
+        # those taken are apart from each other, so only the neighbours can overlap
+        at = bisect_left(held, (start, end, edits))
+        if (at == len(held) or held[at][0] >= end) and (not at or held[at - 1][1] <= start):
+            held.insert(at, (start, end, edits))
+    return [(n, i, *r) for (n, i), rows in sorted(taken.items()) for r in rows]
 
 
 def _find(items: Items, held: list[tuple[int, str]]) -> Iterator[tuple[int, int, int, int, int]]:
     found = set()
-    for n, t in held:
-        for i in items.short:
-            k, want = int(items.budget[i]), items.texts[i]
-            if k == 0:
-                if (at := t.find(want)) >= 0:
-                    found.add((n, i, at, at + len(want), 0))
-            elif got := verify(items, i, t, 0, len(t)):
-                found.add((n, i, *got))
-    if len(items.hashes):
-        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in held])])
-        # the character between two texts is in no item
-        c = np.frombuffer("\x00".join(t for _, t in held).encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = gram_hashes(c, items.q)
-        at = np.flatnonzero(items.bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in held])])
+    # the character between two texts is in no q-gram that could lead to an item across them: verification looks at one text
+    c = np.frombuffer("\x00".join(t for _, t in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+    for table in items.tables:
+        h = gram_hashes(c, table.q)
+        at = np.flatnonzero(table.bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
         h = h[at]
-        slot = np.minimum(np.searchsorted(items.hashes, h), len(items.hashes) - 1)
-        same = items.hashes[slot] == h
+        slot = np.minimum(np.searchsorted(table.hashes, h), len(table.hashes) - 1)
+        same = table.hashes[slot] == h
         at, slot = at[same], slot[same]
-        times = items.starts[slot + 1] - items.starts[slot]
-        if len(at):
-            each = np.repeat(items.starts[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            item, diagonal = items.item[each], np.repeat(at, times) - items.pos[each]
-            owner = np.repeat(np.searchsorted(begin, at, side="right") - 1, times)
-            # overlapping bands: each diagonal is in two, and any k diagonals either side of a start are whole in one
-            width = 2 * items.budget[item] + 1
-            shifted = diagonal - begin[owner] + _FAR
-            key = (owner * (len(items.ids) + 1) + item).astype(np.int64)
-            for half in (0, 1):
-                band = (shifted + half * width) // (2 * width)
-                order = np.lexsort((band, key))
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(band[order]) != 0)]))
-                count, first = np.diff(np.append(new, len(order))), order[new]
-                for j in first[count >= items.least[item[first]]]:
-                    o, i, w = int(owner[j]), int(item[j]), int(width[j])
-                    low = int(band[j]) * 2 * w - half * w - _FAR
-                    if got := verify(items, i, held[o][1], low, low + 2 * w - 1):
-                        found.add((held[o][0], i, *got))
-    yield from sorted(found)
+        times = table.starts[slot + 1] - table.starts[slot]
+        # a q-gram that stands often, in texts and in items, is worked through in pieces, cut between texts
+        owners = np.searchsorted(begin, at, side="right") - 1
+        for lo, hi in _pieces(times, owners):
+            found.update(_bands(items, table, held, begin, at[lo:hi], slot[lo:hi], times[lo:hi]))
+    yield from _apart(found)
+
+
+def _pieces(times: np.ndarray, owners: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of hits of about `most` shared q-grams, whole texts each."""
+    if not len(times):
+        return
+    edges = np.append(np.flatnonzero(np.diff(owners, prepend=-1)), len(owners))
+    before = np.concatenate([[0], np.cumsum(times)])
+    lo = 0
+    for edge in edges[1:].tolist():
+        if before[edge] - before[lo] >= most or edge == len(owners):
+            yield lo, edge
+            lo = edge
+
+
+def _bands(items: Items, table: Grams, held: list[tuple[int, str]], begin: np.ndarray, at: np.ndarray, slot: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """Verified occurrences in the bands that share q-grams enough."""
+    each = np.repeat(table.starts[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    item, diagonal = table.item[each], np.repeat(at, times) - table.pos[each]
+    owner = np.repeat(np.searchsorted(begin, at, side="right") - 1, times)
+    # overlapping bands: each diagonal is in two, and any k diagonals either side of a start are whole in one
+    width = 2 * items.budget[item] + 1
+    shifted = diagonal - begin[owner] + _FAR
+    key = (owner * (len(items.ids) + 1) + item).astype(np.int64)
+    for half in (0, 1):
+        band = (shifted + half * width) // (2 * width)
+        order = np.lexsort((band, key))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(band[order]) != 0)]))
+        count, first = np.diff(np.append(new, len(order))), order[new]
+        for j in first[count >= items.least[item[first]]]:
+            o, i, w = int(owner[j]), int(item[j]), int(width[j])
+            low = int(band[j]) * 2 * w - half * w - _FAR
+            if got := verify(items, i, held[o][1], low, low + 2 * w - 1):
+                yield held[o][0], i, *got
 
 
 def item_blocks(benchmark: DataFrame, q: int, rate: float, block: int = 20_000) -> Iterator[Items]:
@@ -197,10 +230,13 @@ def item_blocks(benchmark: DataFrame, q: int, rate: float, block: int = 20_000)
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", q: int = 12, rate: float = 0.07) -> DataFrame:
     """(key, item_id, start, end, edits): where a benchmark item occurs in a document with at most rate x its length edits.
 
-    Offsets are code points of the document, end exclusive. Null and empty texts and items match nothing; repeated rows are each searched;
-    an empty table on either side gives no rows. Other columns are not read.
+    Offsets are code points of the document, end exclusive. Every place is given; of overlapping ones of an item the nearest, then the
+    first. Null, empty and blank texts and items match nothing; a text of any length is searched whole; repeated rows are each searched;
+    an empty table on either side gives no rows. Other columns are not read, whatever their names.
     """
-    schema = T.StructType([docs.schema[key], *[T.StructField("item_id", benchmark.schema["item_id"].dataType)], *[T.StructField(c, T.LongType()) for c in ("start", "end", "edits")]])
+    kind = benchmark.schema["item_id"].dataType
+    schema = T.StructType([docs.schema[key], T.StructField("item_id", kind), *[T.StructField(c, T.LongType()) for c in ("start", "end", "edits")]])
+    kind = to_arrow_type(kind)
     out = None
     for items in item_blocks(benchmark, q, rate):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -208,8 +244,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = list(find_in_texts(sent.value, batch.column(1).to_pylist()))
-                ids = [sent.value.ids[r[1]] for r in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array(ids), *[pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3, 4)]], names=[key, "item_id", "start", "end", "edits"])
+                if rows:
+                    owner, item, *places = zip(*rows, strict=True)
+                    columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array([sent.value.ids[i] for i in item], kind), *[pa.array(v, pa.int64()) for v in places]]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", "start", "end", "edits"])
 
         part = docs.select(key, text).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -217,7 +255,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", q: int = 12, rate: float = 0.07) -> DataFrame:
-    """The documents in which no benchmark item occurs, whole and with all their columns."""
+    """The documents in which no benchmark item occurs, whole and with all their columns, whatever their names.
+
+    A document of a null, empty or blank text stays; so do all where the benchmark is empty. Repeated rows are judged alike.
+    """
     at = docs.columns.index(text)
     for items in item_blocks(benchmark, q, rate):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -234,4 +275,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", q: int
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every place where a benchmark item occurs in a document, over all documents and items."""
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
