@@ -10,9 +10,7 @@ The file: a Parquet table of blocks, `part` and `block` in ascending order of do
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import load_tokenizer, once_a_worker, tokenizer_path
+from tessera.llm.bpe import Pieces, once_a_worker, tokenizer_path
 from tessera.llm.shared import range_bounds, range_bucket, scratch_path, stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,75 +32,14 @@ CHECKPOINT_STEPS = 128
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _MASK32 = np.uint64(0xFFFFFFFF)
-#: A blank between two characters that are not white space: this tokenizer's words begin there.
-BREAK = re.compile(r"(?<=\S) (?=\S)")
+# Fixed value: the pattern by which this kind of tokenizer file splits a text; no token goes over such a piece's end.
+BYTE_PIECES = r" ?[{L}]+|'(?:[stmd]|re|ve|ll)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, lengths array<long>, n_tokens long, lanes int, states binary, checkpoints binary, payload binary, payload_crc32 long, ids_crc32 long"
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
-class WordTable:
-    """Encodes texts with the library's tokenizer, each distinct word (with the blank before it) once; the table is bounded.
-
-    Between a blank and a word of other than white space, after another such word, every token ends; a text in which blanks stand beside
-    white space is cut at the blanks that do not.
-    """
-
-    def __init__(self, path: str, most: int = 1_200_000):
-        self.tokenizer, self.most = load_tokenizer(path), most
-        self.table: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers; what the table lacks is encoded in one go."""
-        cut = [self._words(t) for t in texts]
-        get = self.table.get
-        found = [[*map(get, words)] for words in cut]
-        missing = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if missing:
-            fresh = self._encode(sorted(missing))
-            if len(fresh) < len(missing):  # words with white space at an end: cut their texts with care
-                recut = [BREAK.split(t) if t and not fresh.keys() >= {w for w, i in zip(words, ids, strict=True) if i is None} else None for t, words, ids in zip(texts, cut, found, strict=True)]
-                for n, words in enumerate(recut):
-                    if words is not None:
-                        words[0] = "\0" + words[0]
-                        again = self._encode([w for w in dict.fromkeys(words) if w not in self.table and w not in fresh], any_form=True)
-                        found[n] = [get(w) or fresh.get(w) or again[w] for w in words]
-            if len(self.table) + len(fresh) > self.most:
-                self.table.clear()
-            found = [[fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(cut, found, strict=True)]
-            self.table.update(fresh)
-        return [b"".join(ids) for ids in found]
-
-    def _words(self, text: str | None) -> list[str]:
-        """Words without the blank before them; the first one, which has none, is marked."""
-        words = text.split(" ") if text else []
-        if words:
-            words[0] = "\0" + words[0]
-        return words
-
-    def _encode(self, words: list[str], any_form: bool = False) -> dict[str, bytes]:
-        """Ids of new words. Words of letters alone go to the library's model directly, others through the whole tokenizer; a word with white space at an end, or none at all, is left out unless any form will do."""
-        out: dict[str, bytes] = {}
-        rest, model = [], self.tokenizer.model
-        for w in words:
-            if w.isalpha():
-                out[w] = array("I", [t.id for t in model.tokenize("\u0120" + "".join(map(BYTE_CHARS.__getitem__, w.encode())))]).tobytes()
-            elif any_form or w not in ("", "\0") and not (w[0] == "\0" and w[1].isspace()) and not w[0].isspace() and not w[-1].isspace():
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\0" else " " + w for w in rest], add_special_tokens=False), strict=True):
-            out[w] = array("I", e.ids).tobytes()
-        return out
-
-
-def byte_characters() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    extra = iter(range(256, 512))
-    return [chr(b if b in plain else next(extra)) for b in range(256)]
-
-
-BYTE_CHARS = byte_characters()
 _PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -117,17 +54,28 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(key, part, n, ids): each text's ids with the end id, packed. A null text is read as empty."""
+    """(key, part, n, ids): each text's ids with the end id, packed. A null text is read as empty.
+
+    Each task adds one row of its own, with n = -1 and the packed occurrences of every id in it, so that no second pass has to count them.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, "part", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = once_a_worker(WordTable, path)
+        pieces = once_a_worker(Pieces, path, BYTE_PIECES)
         end = np.array([end_id], "<u4").tobytes()
+        total = np.zeros(pieces.tokenizer.get_vocab_size(with_added_tokens=True) + end_id + 1, np.int64)
+        key_type = None
         for batch in batches:
+            key_type = batch.schema.field(0).type
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                ids = [np.frombuffer(b + end, "<u4") for b in words.encode_all(part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())], names=[key, "part", "n", "ids"])
+                ids = [np.frombuffer(pieces.encode(t or "") + end, "<u4") for t in part.column(2).to_pylist()]
+                total += np.bincount(np.concatenate(ids), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())], names=names)
+        if key_type is not None:
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.array([-1], pa.int32()), pa.array([-1], pa.int64()), pa.array([np.concatenate([seen, total[seen]]).astype("<i8").tobytes()], pa.binary())], names=names)
 
     return docs.select(key, "part", text).mapInArrow(run, f"`{key}` {kind}, part int, n long, ids binary")
 
@@ -136,21 +84,15 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
 
 def count_tokens(tokens: DataFrame) -> dict[int, int]:
-    """Occurrences of every id over all documents; what reaches the driver is bounded by the vocabulary."""
+    """Occurrences of every id over all documents, from the tasks' own counts; what reaches the driver is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                ids = [unpack(v) for v in batch.column(0).slice(i, 500).to_pylist()]
-                c = np.bincount(np.concatenate(ids).astype(np.int64))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for v in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(v, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+
+    rows = tokens.where("n < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
@@ -247,7 +189,7 @@ def decode_from_checkpoint(point: int, n_tokens: int, lanes: int, checkpoints: b
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> Table:
     """Tokenize all documents and write them to `path` (blocks and frequencies) in ascending order of the integer key, nulls first, ties by ids.
 
-    Each text is tokenized once; its ids wait in the shared folder until the counts are complete. Then they are dealt out by ranges of the key.
+    Each text is tokenized and counted once; its ids wait in the shared folder until the counts are complete. Then they are dealt out by ranges of the key.
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -282,7 +224,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id"
         if held:
             yield close()
 
-    dealt = tokens.repartition(parts, "part").sortWithinPartitions("part", F.col(key).asc_nulls_first(), "ids")
+    dealt = tokens.where("n >= 0").repartition(parts, "part").sortWithinPartitions("part", F.col(key).asc_nulls_first(), "ids")
     dealt.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame(sorted(counts.items()), "id long, n long").coalesce(1).write.parquet(f"{path}/frequencies")
     return table
