@@ -29,6 +29,7 @@ from tessera.llm.urls import split_url
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)/?>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ROLE_MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are no markup, and no text of the page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -39,10 +40,31 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are no part of an article.
 NOISE = frozenset("nav header footer aside form button select option menu template noscript dialog svg canvas object head fieldset".split())
-#: Words of class, id or role that say the same.
+#: Names in class, id or role that say the same.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing social related recommended widget login signup search pagination pager toolbar skip alert complementary contentinfo".split()
 )
+#: What may follow such a name in a compound: parts of a page. (`ad-slot` is an advert, `ad-free` and `social-history` are not.)
+PARTS = frozenset("area bar block body bottom box button buttons column container content copy cell form frame group holder inner item items left link links list main module outer panel placeholder right row section slot space text title top unit wrap wrapper zone".split())
+
+
+def hints_of(attributes: str) -> set[str]:
+    """The names by which a tag's class, id or role says that it is no part of an article.
+
+    A name counts as a whole (`sidebar`), as the last word of a compound (`main-menu`) or as the first before words for parts of a page.
+    """
+    found = set()
+    for _, value in ATTRIBUTE.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = [w for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])|[0-9]+", name) if w]
+            words = [w.lower() for w in words]
+            if words and words[-1] in HINTS:
+                found.add(words[-1])
+            elif words and words[0] in HINTS and PARTS.issuperset(words[1:]):
+                found.add(words[0])
+    return found
+
+
 #: What a block is: noise by its markup; the article's prose; loose text inside the article; text outside it; paragraphs and the like outside it.
 NOISE_BLOCK, PROSE_BLOCK, LOOSE_BLOCK, OUTER_BLOCK, OUTER_PROSE_BLOCK = 0, 1, 2, 3, 4
 #: Prose that stands on more than half of a host's pages is boilerplate on a host of this many pages or more.
@@ -108,12 +130,12 @@ def read_blocks(page: str | None) -> tuple[list[tuple[str, int]], bool]:
                         break
                     if stack[i][0] in ("ul", "ol", "dl", "table", "article", "main", "body", "div", "section", "nav", "aside", "form", "blockquote"):
                         break
-            words = {w for _, v in ATTRIBUTE.findall(rest) for w in re.split(r"[^a-z]+", v.lower())} if rest and "=" in rest else set()
-            article = name in ("article", "main") or "main" in words and "role" in rest.lower()
-            hinted = bool(words & HINTS) and name not in HEADING and name not in ("html", "body", "main")
+            hints = hints_of(rest) if rest and "=" in rest else set()
+            article = name in ("article", "main") or bool(rest) and ROLE_MAIN.search(rest) is not None
+            hinted = bool(hints) and name not in HEADING and name not in ("html", "body", "main")
             if article and not hinted:
                 marked = True
-            stack.append((name if not (hinted and words & HINTS <= {"header", "masthead"}) else "header", name in NOISE or hinted, article))
+            stack.append((name if not (hinted and hints <= {"header", "masthead"}) else "header", name in NOISE or hinted, article))
         if name in BLOCK or not text:
             kind = current()
     if at < len(page):
