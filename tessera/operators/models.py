@@ -13,14 +13,29 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, `median`: exact, without gathering the column. A quantile summary gives two values that have the middle between them; only the
+    distinct values from one to the other, with their counts, come together in a task."""
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    bounds = known.approxQuantile("v", [0.49, 0.51], 0.002)
+    low, high = bounds or (0.0, 0.0)
+    sizes = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < low).alias("below"))
+    band = known.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+    run = band.withColumn("upto", F.sum("m").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda rank: F.min(F.when(F.col("below") + F.col("upto") > rank, F.col("v")))
+    return run.crossJoin(F.broadcast(sizes)).agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
 def impute_medians(train: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill nulls with the medians of the training rows; a column without any training value stays null (see all_null)."""
-    medians = train.agg(*[F.median(c).alias(f"__{c}") for c in columns])
-    return rows.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+    for c in columns:
+        median = exact_median(train, c).withColumnRenamed("median", "__median")
+        rows = rows.crossJoin(F.broadcast(median)).withColumn(c, F.coalesce(c, "__median")).drop("__median")
+    return rows
 
 
 def incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,6 +55,15 @@ def gram_cells(rows: DataFrame, cell: Sequence[str], features: Sequence[str], ta
     return rows.groupBy(*cell).agg(*sums)
 
 
+def without_features(cells: DataFrame, features: Sequence[str], dropped: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(gram cells, features) without some features: a choice of sums, no new pass over the rows."""
+    k = len(features) + 2
+    kept = [0, *[i for i, f in enumerate(features, 1) if f not in dropped], k - 1]
+    others = [c for c in cells.columns if not c.startswith("g_")]
+    sums = [F.col(f"g_{a}_{b}").alias(f"g_{i}_{j}") for i, a in enumerate(kept) for j, b in enumerate(kept) if j >= i]
+    return cells.select(*others, *sums), [f for f in features if f not in dropped]
+
+
 def ridge_by_fold(cells: DataFrame, fold: Sequence[str], features: Sequence[str], alphas: Sequence[float]) -> DataFrame:
     """(fold, alpha, b_0, b_1, ...): ridge on standardised features (population deviation), the intercept free, written back to raw units; alpha 0 is least squares.
 
@@ -81,6 +105,16 @@ def linear_predictions(rows: DataFrame, coefficients: DataFrame, on: Sequence[st
     return rows.join(coefficients, [*on]).withColumn(name, pred).drop(*[f"b_{i}" for i in range(len(features) + 1)])
 
 
+def date_scores(rows: DataFrame, coefficients: DataFrame, on: Sequence[str], fits: Sequence[str], features: Sequence[str], target: str, day: str) -> DataFrame:
+    """(on, fits, dates, mae): the mean over dates of each date's mean absolute error, for every fit (`fits`) that scores a row's part (`on`).
+
+    Rows meet the fits of their own part only, and a date's errors are summed before they are shuffled.
+    """
+    scored = linear_predictions(rows, coefficients, on, features, "__pred")
+    by_date = scored.groupBy(*on, *fits, day).agg(F.avg(F.abs(F.col("__pred") - F.col(target))).alias("__mae"))
+    return by_date.groupBy(*on, *fits).agg(F.count(F.lit(1)).alias("dates"), F.avg("__mae").alias("mae"))
+
+
 def make_model(kind: str, features: Sequence[str], target: str, weight: str | None = None, **settings) -> Pipeline:
     """A pipeline of median imputer, assembler, scaler and regressor: `ols`, `ridge`, `elastic` or `boosted` (absolute loss)."""
     filled = [f"{f}__filled" for f in features]

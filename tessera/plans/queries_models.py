@@ -15,7 +15,7 @@ FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.year("l_shipdate").cast("long").alias("yr"), *FEATURES, (F.col("l_extendedprice") / 1000).alias("y"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.year("l_shipdate").cast("long").alias("yr"), F.to_date("l_shipdate").alias("day"), *FEATURES, (F.col("l_extendedprice") / 1000).alias("y"))
 
 
 def fold_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,18 +57,23 @@ def f23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.linear_predictions(rows(spark, sf_dir), fits, ["yr"], FEATURES).select("l_orderkey", "l_linenumber", "yr", "y", "pred"), "pred")
 
 
+#: The registry of features: families are left out whole.
+FAMILIES = {"size": ["l_quantity"], "terms": ["l_discount", "l_tax"]}
+
+
 @query("f25_feature_ablation")
 def f25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refits without each feature in turn, all from one set of sums per scenario."""
-    out = None
-    for left_out in [None, *FEATURES]:
-        names = [f for f in FEATURES if f != left_out]
-        cells = M.gram_cells(rows(spark, sf_dir), ["yr"], names, "y")
-        cells = cells.join(cells.select(F.col("yr").alias("held")), F.col("yr") != F.col("held"))
-        fits = M.ridge_by_fold(cells, ["held"], names, [1.0]).withColumnRenamed("held", "yr")
-        part = M.linear_predictions(rows(spark, sf_dir), fits, ["yr"], names).agg(F.round(F.avg(F.abs(F.col("pred") - F.col("y"))), 6).alias("mae")).select(F.lit(left_out or "none").alias("left_out"), "mae")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Refits without each feature family in turn, all from one set of sums; held-out years scored by date."""
+    data = rows(spark, sf_dir)
+    cells, out = fold_cells(spark, sf_dir), None
+    for left_out in ["none", *FAMILIES]:
+        part, names = M.without_features(cells, FEATURES, FAMILIES.get(left_out, []))
+        fits = M.ridge_by_fold(part, ["held"], names, [1.0])
+        at = {"b_0": F.col("b_0")} | {f"b_{FEATURES.index(f) + 1}": F.col(f"b_{i}") for i, f in enumerate(names, 1)}
+        fits = fits.select(F.col("held").alias("yr"), F.lit(left_out).alias("left_out"), *[at.get(f"b_{i}", F.lit(0.0)).alias(f"b_{i}") for i in range(len(FEATURES) + 1)])
+        out = fits if out is None else out.unionByName(fits)
+    scores = M.date_scores(data, out, ["yr"], ["left_out"], FEATURES, "y", "day")
+    return scores.groupBy("left_out").agg(F.sum("dates").alias("dates"), F.round(F.sum(F.col("mae") * F.col("dates")) / F.sum("dates"), 6).alias("mae"))
 
 
 @query("f18_f19_f21_model_pipelines")
@@ -77,7 +82,7 @@ def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = rows(spark, sf_dir)
     train, test = data.where("yr < 2000"), data.where("yr >= 2000")
     out = None
-    for kind, settings in (("ols", {}), ("ridge", {"alpha": 0.1}), ("elastic", {"alpha": 0.05}), ("boosted", {"maxIter": 5, "maxDepth": 3})):
+    for kind, settings in (("ols", {}), ("ridge", {"alpha": 0.1}), ("elastic", {"alpha": 0.05}), ("boosted", {"maxIter": 20, "maxDepth": 3})):
         fitted = M.make_model(kind, FEATURES, "y", **settings).fit(train)
         part = fitted.transform(test).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("y"))), 4).alias("mae")).select(F.lit(kind).alias("kind"), "n", "mae")
         out = part if out is None else out.unionByName(part)
