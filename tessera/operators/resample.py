@@ -49,11 +49,15 @@ def bootstrap_replicates(cells: DataFrame, day: str, block: str, seed: int, repl
 def crossed_bootstrap(cells: DataFrame, day: str, block: str, seed: int, replicates: int, level: float = 0.95, by: Sequence[str] = (), least_relative: float = 0.1, keep: int | None = None) -> DataFrame:
     """One row (a group): replicates used and empty, percentile interval of the improvement and of the relative one, and their probabilities.
 
-    With `keep`, replicates are over-drawn and the first `keep` that are not empty count: the form for sparse cohorts.
+    With `keep`, replicates are drawn, twice as many each time, until `keep` are not empty, and the first `keep` count: the form for sparse cohorts.
     """
     by = list(by)
     reps = bootstrap_replicates(cells, day, block, seed, replicates, by)
     if keep is not None:
+        # draws are named by their number, so more replicates are the same ones and then others
+        while replicates < 64 * keep and (short := reps.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]) is not None and short < keep:
+            replicates *= 2
+            reps = bootstrap_replicates(cells, day, block, seed, replicates, by)
         reps = reps.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("rep"))).where(F.col("__r") <= keep)
     gain, tail = F.col("baseline") - F.col("target"), (1 - level) / 2
     reps = reps.withColumns({"gain": gain, "relative": gain / F.col("baseline")})

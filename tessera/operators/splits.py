@@ -42,11 +42,28 @@ def inner_roles(roles: DataFrame, fold: str, year: str) -> DataFrame:
     return train.join(years, fold).withColumn("inner_role", F.when(F.col(year) == F.col("inner_year"), "validation").otherwise("train"))
 
 
-def fold_definitions(roles: DataFrame, keys: Sequence[str], day: str, unit: str, block: str) -> DataFrame:
-    """Twelve counts a fold: rows, dates, units and blocks of its train, test and purged part."""
-    at = lambda r, c: F.countDistinct(F.when(F.col("role") == r, F.col(c)))
-    counts = [a for r in ("train", "test", "purged") for a in (F.count_if(F.col("role") == r).alias(f"{r}_rows"), at(r, day).alias(f"{r}_dates"), at(r, unit).alias(f"{r}_units"), at(r, block).alias(f"{r}_blocks"))]
-    return roles.groupBy(*keys).agg(*counts)
+def fold_definitions(rows: DataFrame, folds: DataFrame, keys: Sequence[str], year: str, block: str, day: str, unit: str, buffer: DataFrame | None = None) -> DataFrame:
+    """Twelve counts a fold: rows, dates, units and blocks of its train, test and purged part.
+
+    A role hangs on a row's year, block and unit alone. So folds meet units by year and dates by year and block, and not rows: a date has
+    a row of each role that one of its units has, and only the buffer parts units of one block.
+    """
+    near = None if buffer is None else buffer.select("held_block", unit).distinct()
+    n = F.count(F.lit(1))
+    by_unit = fold_roles(rows.groupBy(year, block, unit).agg(n.alias("__n")), folds, year, block, near, unit)
+    by_unit = by_unit.groupBy(*keys, "role", block, unit).agg(F.sum("__n").alias("__n"))
+    sizes = by_unit.groupBy(*keys, "role").agg(F.sum("__n").alias("rows"), F.countDistinct(unit).alias("units"), F.countDistinct(block).alias("blocks"))
+    dates = fold_roles(rows.groupBy(year, block, day).agg(n.alias("__all")), folds, year, block)
+    if near is None:
+        dates = dates.withColumn("__near", F.lit(0))
+    else:
+        close = rows.join(near, unit).groupBy(year, block, day, "held_block").agg(n.alias("__near"))
+        dates = dates.join(close, [year, block, day, "held_block"], "left").fillna(0, ["__near"])
+    parts = F.when(F.col("role") == "train", F.array_compact(F.array(F.when(F.col("__near") > 0, "purged"), F.when(F.col("__all") > F.col("__near"), "train")))).otherwise(F.array("role"))
+    dates = dates.select(*keys, day, F.explode(parts).alias("role")).distinct().groupBy(*keys, "role").agg(n.alias("dates"))
+    names = ("rows", "dates", "units", "blocks")
+    both = sizes.unionByName(dates, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("role") == r, F.col(c))), F.lit(0)).alias(f"{r}_{c}") for r in ("train", "test", "purged") for c in names])
 
 
 def coverage_violations(roles: DataFrame, row_keys: Sequence[str]) -> DataFrame:

@@ -127,10 +127,15 @@ def span_sessions(df: DataFrame, by: list[str], ts: str, item: str, span_seconds
     With `path` and `row`, also where no member of the group is within one of both; what is no whole number is next to nothing. With `date`, one
     of `by`, adds `ambiguous`: whether the date has more than one group, over all values of the other columns.
 
-    Start and members depend on the rows before, so the state folds over each group's ordered times; a group is one platform and date.
+    Start and members depend on the rows before, so the state folds over ordered times. A gap longer than the span always begins a group, so
+    only the rows between two such gaps are folded together.
     """
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    ordered = Window.partitionBy(*by).orderBy("__t", item)
+    df = df.withColumn("__t", t).withColumn("__gap", F.when(F.col("__t") - F.lag("__t").over(ordered) <= span_seconds * 1_000_000, 0).otherwise(1))
+    df = df.withColumn("__island", F.sum("__gap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     place = [F.expr(f"try_cast(`{c}` AS long)") if c else F.lit(0).cast("long") for c in (path, row)]
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(item).alias("id"), place[0].alias("path"), place[1].alias("row")))).alias("rows"))
+    rows = df.groupBy(*by, "__island").agg(F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), F.col(item).alias("id"), place[0].alias("path"), place[1].alias("row")))).alias("rows"))
     none = F.array().cast("array<struct<path:bigint,row:bigint>>")
     zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"), none.alias("members"))
 
@@ -141,12 +146,14 @@ def span_sessions(df: DataFrame, by: list[str], ts: str, item: str, span_seconds
         own = F.struct(r["path"].alias("path"), r["row"].alias("row"))
         return F.struct(F.when(new, r["t"]).otherwise(acc["start"]).alias("start"), n.alias("n"), F.array_append(acc["out"], n).alias("out"), F.array_append(F.when(new, none).otherwise(acc["members"]), own).alias("members"))
 
-    placed = rows.select(*by, "rows", F.aggregate("rows", zero, step)["out"].alias("out"))
+    placed = rows.select(*by, "__island", "rows", F.aggregate("rows", zero, step)["out"].alias("out")).withColumn("__n", F.array_max("out"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__island").rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("__before", F.coalesce(before, F.lit(0)))
     if date:
-        placed = placed.withColumn("ambiguous", F.sum(F.array_max("out")).over(Window.partitionBy(date)) > 1)
+        placed = placed.withColumn("ambiguous", F.sum("__n").over(Window.partitionBy(date)) > 1)
     kept = [*by, "ambiguous"] if date else by
-    found = placed.select(*kept, F.explode(F.arrays_zip("rows", "out")).alias("z"))
-    return found.select(*by, F.col("z.rows.id").alias(item), F.col("z.out").alias("session"), *kept[len(by) :])
+    found = placed.select(*kept, "__before", F.explode(F.arrays_zip("rows", "out")).alias("z"))
+    return found.select(*by, F.col("z.rows.id").alias(item), (F.col("z.out") + F.col("__before")).cast("int").alias("session"), *kept[len(by) :])
 
 
 def merge_intervals(df: DataFrame, by: list[str], low: str, high: str) -> DataFrame:

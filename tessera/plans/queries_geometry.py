@@ -70,26 +70,22 @@ def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas(spark, sf_dir).select("aid", (F.floor(F.col("a0") / 4) - 1).alias("c0"), (F.ceil(F.col("a1") / 4) + 1).alias("c1"), (F.floor(F.col("b0") / 4) - 1).alias("r0"), (F.ceil(F.col("b1") / 4) + 1).alias("r1"))
 
 
-@query("g08_union_coverage", f"WITH {_U}, {_A}, k AS (SELECT aid, a0, b0, a1, b1, unnest(range(CAST(floor(a0) AS BIGINT), CAST(floor(a1) AS BIGINT) + 1)) AS kx FROM a), c AS (SELECT *, unnest(range(CAST(floor(b0) AS BIGINT), CAST(floor(b1) AS BIGINT) + 1)) AS ky FROM k), f AS (SELECT aid, kx + 0.5 AS cx, ky + 0.5 AS cy FROM c WHERE kx + 0.5 >= a0 AND kx + 0.5 < a1 AND ky + 0.5 >= b0 AND ky + 0.5 < b1) SELECT aid, round(avg(CASE WHEN EXISTS (SELECT 1 FROM u WHERE id % 20 = 0 AND cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1) THEN 1.0 ELSE 0.0 END), 6) AS share FROM f GROUP BY 1")
-def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g08_all(spark, sf_dir, "id % 20 = 0")
+# the footprints' cells by an equi-join on cells, so that all footprints can be taken
+_COVERED = f"WITH {_U}, {_A}, k AS (SELECT aid, a0, b0, a1, b1, unnest(range(CAST(floor(a0) AS BIGINT), CAST(floor(a1) AS BIGINT) + 1)) AS kx FROM a), c AS (SELECT *, unnest(range(CAST(floor(b0) AS BIGINT), CAST(floor(b1) AS BIGINT) + 1)) AS ky FROM k), f AS (SELECT aid, kx, ky FROM c WHERE kx + 0.5 >= a0 AND kx + 0.5 < a1 AND ky + 0.5 >= b0 AND ky + 0.5 < b1), h AS (SELECT x0, y0, x1, y1, unnest(range(CAST(floor(x0) AS BIGINT), CAST(floor(x1) AS BIGINT) + 1)) AS kx FROM u), i AS (SELECT *, unnest(range(CAST(floor(y0) AS BIGINT), CAST(floor(y1) AS BIGINT) + 1)) AS ky FROM h), m AS (SELECT DISTINCT kx, ky FROM i WHERE kx + 0.5 >= x0 AND kx + 0.5 < x1 AND ky + 0.5 >= y0 AND ky + 0.5 < y1)"
 
 
-@query("g08_union_coverage_all")
-def g08_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """Over all footprints; the registered SQL tests every cell with every footprint, too slow for all of them."""
-    return rounded(G.union_coverage(areas(spark, sf_dir), boxes(spark, sf_dir).where(where), "aid", _ABOX, _BOX, 1.0), "share")
+@query("g08_union_coverage", f"{_COVERED} SELECT aid, round(avg(CASE WHEN m.kx IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share FROM f LEFT JOIN m USING (kx, ky) GROUP BY 1")
+def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.union_coverage(areas(spark, sf_dir), boxes(spark, sf_dir), "aid", _ABOX, _BOX, 1.0), "share")
 
 
-@query("g09_buffer_units", f"WITH {_U}, v AS (SELECT * FROM u WHERE id % 5 = 0), d AS (SELECT a.brand AS held_block, b.id, min(sqrt(power(greatest(0.0, b.x0 - a.x1, a.x0 - b.x1), 2) + power(greatest(0.0, b.y0 - a.y1, a.y0 - b.y1), 2))) AS distance FROM v a JOIN v b ON a.brand <> b.brand GROUP BY 1, 2) SELECT held_block, id, 'buffer_only' AS role, round(distance, 6) AS distance FROM d WHERE distance <= 1.5 UNION ALL SELECT brand, id, 'held_out', 0.0 FROM v")
-def g09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g09_all(spark, sf_dir, "id % 5 = 0")
+# units meet on cells of the radius: those of one side's box widened by it
+_MEET = f"WITH {_U}, p AS (SELECT *, unnest(range(CAST(floor((x0 - 1.5) / 1.5) AS BIGINT), CAST(floor((x1 + 1.5) / 1.5) AS BIGINT) + 1)) AS kx FROM u), a AS (SELECT *, unnest(range(CAST(floor((y0 - 1.5) / 1.5) AS BIGINT), CAST(floor((y1 + 1.5) / 1.5) AS BIGINT) + 1)) AS ky FROM p), q AS (SELECT *, unnest(range(CAST(floor(x0 / 1.5) AS BIGINT), CAST(floor(x1 / 1.5) AS BIGINT) + 1)) AS kx FROM u), b AS (SELECT *, unnest(range(CAST(floor(y0 / 1.5) AS BIGINT), CAST(floor(y1 / 1.5) AS BIGINT) + 1)) AS ky FROM q)"
 
 
-@query("g09_buffer_units_all")
-def g09_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """Over all units; the registered SQL takes all pairs, too slow for all of them."""
-    return rounded(G.buffer_units(boxes(spark, sf_dir).where(where), "id", "brand", _BOX, 1.5), "distance")
+@query("g09_buffer_units", f"{_MEET}, d AS (SELECT a.brand AS held_block, b.id, min(sqrt(power(greatest(0.0, b.x0 - a.x1, a.x0 - b.x1), 2) + power(greatest(0.0, b.y0 - a.y1, a.y0 - b.y1), 2))) AS distance FROM a JOIN b ON a.kx = b.kx AND a.ky = b.ky AND a.brand <> b.brand GROUP BY 1, 2) SELECT held_block, id, 'buffer_only' AS role, round(distance, 6) AS distance FROM d WHERE distance <= 1.5 UNION ALL SELECT brand, id, 'held_out', 0.0 FROM u")
+def g09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.buffer_units(boxes(spark, sf_dir), "id", "brand", _BOX, 1.5), "distance")
 
 
 _NEAR = "n AS (SELECT id, sid, sqrt(power(px - (x1 + t * (x2 - x1)), 2) + power(py - (y1 + t * (y2 - y1)), 2)) AS d FROM (SELECT *, CASE WHEN x2 = x1 AND y2 = y1 THEN 0.0 ELSE greatest(0.0, least(1.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) END AS t FROM (SELECT id, x0 AS px, y0 AS py FROM u), s))"

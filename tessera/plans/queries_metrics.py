@@ -101,7 +101,7 @@ def d08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _D09 = """
-    WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 50 = 0),
+    WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
     a AS (SELECT CAST(l_shipdate AS DATE) AS acq, l_suppkey % 10 AS unit, avg(l_tax) * 20 AS coverage, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
     j AS (SELECT t.day, unit, a.coverage, v, date_diff('day', acq, t.day) AS lag FROM t JOIN a ON date_diff('day', acq, t.day) BETWEEN 1 AND 60),
     f AS (SELECT day, unit, count(*) AS candidates, count(*) FILTER (coverage >= 0.8037) AS qualifying, min(lag) FILTER (coverage >= 0.8037) AS least_lag, max(lag) FILTER (coverage >= 0.8037) AS most_lag, median(v) FILTER (coverage >= 0.8037) AS v FROM j GROUP BY 1, 2)
@@ -111,15 +111,9 @@ _D09 = """
 
 @query("d09_d10_trailing_composite", _D09)
 def d09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d09_all(spark, sf_dir, "o_orderkey % 50 = 0")
-
-
-@query("d09_d10_trailing_composite_all", _D09.replace(" WHERE o_orderkey % 50 = 0", ""))
-def d09_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """At all target dates."""
     from tessera.operators.joins import lag_membership
 
-    targets = table(spark, sf_dir, "orders").where(where).select(F.to_date("o_orderdate").alias("day")).distinct()
+    targets = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     acquired = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("acq"), (F.col("l_suppkey") % 10).alias("unit")).agg((F.avg("l_tax") * 20).alias("coverage"), F.avg("l_quantity").alias("v"))
     membership = lag_membership(targets, acquired.select("acq").distinct(), "day", "acq", 1, 60)
     keys = targets.crossJoin(acquired.select("unit").distinct())

@@ -50,19 +50,19 @@ def _bootstrap_sql(by: str, seed: int, replicates: int, keep: int | None = None)
 _ROUND = ("relative_low", "relative_high", "p_better", "p_much_better")
 
 
-@query("f02_f06_crossed_bootstrap", _bootstrap_sql("", 7, 200))
+@query("f02_f06_crossed_bootstrap", _bootstrap_sql("", 7, 5000))
 def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(R.crossed_bootstrap(cells(spark, sf_dir, []), "q", "block", 7, 200), "low", "high", digits=4), *_ROUND)
+    return rounded(rounded(R.crossed_bootstrap(cells(spark, sf_dir, []), "q", "block", 7, 5000), "low", "high", digits=4), *_ROUND)
 
 
-@query("f03_sparse_bootstrap", _bootstrap_sql("", 11, 120, 80))
+@query("f03_sparse_bootstrap", _bootstrap_sql("", 11, 6000, 5000))
 def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(R.crossed_bootstrap(cells(spark, sf_dir, []), "q", "block", 11, 120, keep=80), "low", "high", digits=4), *_ROUND)
+    return rounded(rounded(R.crossed_bootstrap(cells(spark, sf_dir, []), "q", "block", 11, 6000, keep=5000), "low", "high", digits=4), *_ROUND)
 
 
-@query("f04_f05_cohort_bootstrap", _bootstrap_sql("family", 5, 100))
+@query("f04_f05_cohort_bootstrap", _bootstrap_sql("family", 5, 5000))
 def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(R.crossed_bootstrap(cells(spark, sf_dir, ["family"]), "q", "block", 5, 100, by=["family"]), "low", "high", digits=4), *_ROUND)
+    return rounded(rounded(R.crossed_bootstrap(cells(spark, sf_dir, ["family"]), "q", "block", 5, 5000, by=["family"]), "low", "high", digits=4), *_ROUND)
 
 
 @query("f07_f26_gates", "WITH s AS (SELECT avg(l_quantity) AS q, avg(l_tax) AS t, count(*) AS n FROM lineitem), g AS (SELECT 'quantity' AS gate, round(q, 6) AS observed, 20.0 AS threshold, q > 20 AS passed, true AS required FROM s UNION ALL SELECT 'tax', round(t, 6), 0.01, t < 0.01, false FROM s UNION ALL SELECT 'rows', n, 10, n > 10, true FROM s) SELECT gate, CAST(observed AS DOUBLE) AS observed, CAST(threshold AS DOUBLE) AS threshold, passed, required, (SELECT bool_and(passed) FILTER (required) FROM g) AS all_passed FROM g")
@@ -112,11 +112,14 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("unit"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("day"), F.year("l_shipdate").cast("long").alias("yr"), (F.col("l_suppkey") % 6).alias("block")).distinct()
 
 
+def near_units(rows: DataFrame) -> DataFrame:
+    """Units within the buffer of a held block: here, those whose last digit is the block's."""
+    return rows.select("unit").distinct().withColumn("held_block", F.explode(F.array(*[F.lit(str(b)) for b in range(6)]))).where(F.col("unit") % 10 == F.col("held_block").cast("long"))
+
+
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_rows(spark, sf_dir)
-    # units within the buffer of a held block: here, those whose last digit is the block's
-    near = rows.select("unit").distinct().withColumn("held_block", F.explode(F.array(*[F.lit(str(b)) for b in range(6)]))).where(F.col("unit") % 10 == F.col("held_block").cast("long"))
-    return S.fold_roles(rows, S.fold_table(rows, "yr", "block"), "yr", "block", near, "unit")
+    return S.fold_roles(rows, S.fold_table(rows, "yr", "block"), "yr", "block", near_units(rows), "unit")
 
 
 @query("f11_fold_roles", f"WITH {_ROWS}, {_FOLDS}, {_ROLES} SELECT * FROM roles")
@@ -132,12 +135,16 @@ def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f13_fold_definitions", f"WITH {_ROWS}, {_FOLDS}, {_ROLES} SELECT family, held_year, held_block, " + ", ".join(f"count(*) FILTER (role = '{r}') AS {r}_rows, count(DISTINCT CASE WHEN role = '{r}' THEN day END) AS {r}_dates, count(DISTINCT CASE WHEN role = '{r}' THEN unit END) AS {r}_units, count(DISTINCT CASE WHEN role = '{r}' THEN block END) AS {r}_blocks" for r in ("train", "test", "purged")) + " FROM roles GROUP BY 1, 2, 3")
 def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.fold_definitions(roles(spark, sf_dir), ["family", "held_year", "held_block"], "day", "unit", "block")
+    rows = split_rows(spark, sf_dir)
+    return S.fold_definitions(rows, S.fold_table(rows, "yr", "block"), ["family", "held_year", "held_block"], "yr", "block", "day", "unit", near_units(rows))
 
 
-@query("f14_coverage_audit", f"WITH {_ROWS}, {_FOLDS}, {_ROLES} SELECT family, unit, day, yr, count(*) FILTER (role = 'test') AS times FROM roles WHERE NOT (family = 'joint' AND yr = 1996) GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (role = 'test') <> 1")
+@query("f14_coverage_audit", f"WITH {_ROWS}, {_FOLDS}, {_ROLES}, r2 AS (SELECT *, 1 AS k FROM roles WHERE NOT (family = 'joint' AND held_year = 1996) UNION ALL SELECT *, 2 FROM roles WHERE family = 'spatial' AND held_block = '3') SELECT family, unit, day, yr, count(*) FILTER (role = 'test') AS times FROM r2 GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (role = 'test') <> 1")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.coverage_violations(roles(spark, sf_dir).where("not (family = 'joint' and yr = 1996)"), ["unit", "day", "yr"])
+    """Planted: a year's joint folds left out, so that its rows are never tested, and a spatial fold listed twice."""
+    whole = roles(spark, sf_dir)
+    bad = whole.where("not (family = 'joint' and held_year = 1996)").unionByName(whole.where("family = 'spatial' and held_block = '3'"))
+    return S.coverage_violations(bad, ["unit", "day", "yr"])
 
 
 @query("f15_task_plan", f"WITH {_ROWS}, {_FOLDS} SELECT family, held_year, held_block, candidate, CAST(inner_year AS BIGINT) AS inner_year FROM f, (SELECT r_name AS candidate FROM region), (SELECT DISTINCT yr AS inner_year FROM r) WHERE family <> 'joint'")

@@ -55,11 +55,20 @@ def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.split("key", "/")[0].cast("long").alias("l_orderkey"), F.split("key", "/")[1].cast("int").alias("l_linenumber"), F.lit(1).cast("long").alias("variants"))
 
 
-@query("a09_band_offsets")
+@query(
+    "a09_band_offsets",
+    """
+    WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 4.0 END AS b, CASE WHEN p_size > 20 THEN 2 WHEN p_size > 10 THEN 1 ELSE 0 END AS n FROM part),
+    r AS (SELECT *, CASE WHEN n = 0 AND b >= 4 THEN 'missing' WHEN n = 1 THEN 'partial' END AS reject FROM p)
+    SELECT p_partkey, CAST(p_size + 1 AS DOUBLE) AS quantification, z.band AS band, CASE WHEN n = 0 THEN 0.0 WHEN z.band = '0' THEN -p_size ELSE -1000 END AS "offset", reject FROM r, (SELECT unnest(['0', '1']) AS band) z WHERE reject IS NULL
+    UNION ALL SELECT p_partkey, CAST(p_size + 1 AS DOUBLE), NULL, NULL, reject FROM r WHERE reject IS NOT NULL
+    """,
+)
 def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product metadata in XML, written from the part table."""
-    xml = F.expr("concat('<p><BOA_QUANTIFICATION_VALUE>', p_size + 1, '</BOA_QUANTIFICATION_VALUE><l>', if(p_size > 10, concat('<BOA_ADD_OFFSET band_id=\"0\">-', p_size, '</BOA_ADD_OFFSET><BOA_ADD_OFFSET band_id=\"1\">-1000</BOA_ADD_OFFSET>'), ''), '</l></p>')")
-    return R.band_offsets(table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), "xml", ["p_partkey"])
+    """Product metadata in XML, written from the part table: with both bands, with one, or with none, of an old and a new baseline."""
+    xml = F.expr("concat('<p><BOA_QUANTIFICATION_VALUE>', p_size + 1, '</BOA_QUANTIFICATION_VALUE><l>', if(p_size > 10, concat('<BOA_ADD_OFFSET band_id=\"0\">-', p_size, '</BOA_ADD_OFFSET>'), ''), if(p_size > 20, '<BOA_ADD_OFFSET band_id=\"1\">-1000</BOA_ADD_OFFSET>', ''), '</l></p>')")
+    parts = table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"), F.when(F.col("p_partkey") % 3 == 0, "02.00").otherwise("04.00").alias("baseline"))
+    return R.band_offsets(parts, "xml", ["p_partkey"], "baseline", ["0", "1"])
 
 
 @query("a10_decode_cells", "SELECT p_partkey, round(CASE WHEN p_size <> 50 THEN p_size * 0.5 - 3.0 END, 6) AS value, p_size % 3 <> 0 AS id_agrees FROM part")
@@ -108,13 +117,28 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", R.axis_days(F.col("p_size") * 36, F.lit("1980-01-01 12:00:00").cast("timestamp"), 3600).alias("day"))
 
 
-@query("a02_a03_a13_csv_round_trip", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS id, s_name AS name, CAST(2 AS BIGINT) AS parts FROM supplier")
-def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers written as a report and read back as strings, a joined list split again."""
+def _scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/report-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a12_published_table", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1")
+def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table published twice at one place: what is read is the second, whole."""
+    path = _scratch(spark, "published")
+    li = table(spark, sf_dir, "lineitem")
+    W.publish_table(li.select("l_returnflag", "l_quantity"), path)
+    again = spark.read.parquet(path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+    W.publish_table(again, path)
+    return spark.read.parquet(path)
+
+
+@query("a02_a03_a13_csv_round_trip", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS id, s_name AS name, CAST(2 AS BIGINT) AS parts FROM supplier")
+def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as a report and read back as strings, a joined list split again."""
+    path = _scratch(spark, "report")
     ids = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
     W.write_report(table(spark, sf_dir, "supplier").select(ids.alias("id"), F.col("s_name").alias("name"), F.concat_ws("|", ids, "s_name").alias("members")), path, ["id"])
     back = R.scan_csv(spark, path, ["id", "name", "members"], ["members"])

@@ -53,7 +53,7 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E04 = f"""
-    WITH {DAILY_SQL}, t AS (SELECT DISTINCT user_id, day + 2 AS day FROM daily WHERE user_id % 3 = 0),
+    WITH {DAILY_SQL}, t AS (SELECT DISTINCT user_id, day + 2 AS day FROM daily),
     j AS (SELECT t.user_id, t.day, count(d.v) AS c, avg(d.v) AS m FROM t LEFT JOIN daily d ON d.user_id = t.user_id AND d.day BETWEEN t.day - 3 AND t.day - 1 GROUP BY 1, 2)
     SELECT user_id, CAST(day AS DATE) AS day, CAST(day - 3 AS DATE) AS first_day, CAST(day - 1 AS DATE) AS last_day, c AS days_present, c = 3 AS complete, round(CASE WHEN c = 3 THEN m END, 6) AS mean FROM j
     """
@@ -61,14 +61,8 @@ _E04 = f"""
 
 @query("e04_lags_at_targets", _E04)
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e04_all(spark, sf_dir, "user_id % 3 = 0")
-
-
-@query("e04_lags_at_targets_all", _E04.replace(" WHERE user_id % 3 = 0", ""))
-def e04_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """For all users."""
     d = daily(spark, sf_dir)
-    targets = d.where(where).select("user_id", F.date_add("day", 2).alias("day"))
+    targets = d.select("user_id", F.date_add("day", 2).alias("day"))
     return W.trailing_at(d, targets, "user_id", "day", "v", 3).withColumn("mean", F.round("mean", 6))
 
 
@@ -76,11 +70,11 @@ def e04_all(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     "e05_dense_calendar",
     f"""
     WITH {DAILY_SQL}, s AS (SELECT user_id, min(day) AS a, max(day) AS b FROM daily GROUP BY 1), g AS (SELECT user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM s)
-    SELECT g.user_id, g.day, round(d.v, 6) AS v, d.v IS NOT NULL AS observed FROM g LEFT JOIN daily d USING (user_id, day)
+    SELECT g.user_id, g.day, round(d.v, 6) AS v, d.v IS NOT NULL AS observed, d.v IS NULL AND dayofyear(g.day) = 366 AS leap_gap FROM g LEFT JOIN daily d USING (user_id, day)
     """,
 )
 def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.dense_calendar(daily(spark, sf_dir).drop("n"), "user_id", "day").drop("leap_gap").withColumn("v", F.round("v", 6))
+    return W.dense_calendar(daily(spark, sf_dir).drop("n"), "user_id", "day").withColumn("v", F.round("v", 6))
 
 
 @query(

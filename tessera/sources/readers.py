@@ -74,12 +74,29 @@ def merge_pages(pages: DataFrame, item_id: str, columns: Sequence[str]) -> tuple
     return seen.where("variants = 1").drop("variants"), seen.where("variants > 1").select(item_id, "variants")
 
 
-def band_offsets(df: DataFrame, xml: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, quantification, band, offset): per-band offsets of product metadata in XML; products without any have no row."""
+def band_offsets(df: DataFrame, xml: str, keys: Sequence[str], baseline: str, bands: Sequence[str], since: float = 4.0) -> DataFrame:
+    """(keys, quantification, band, offset, reject): per-band offsets of product metadata in XML, a row for each of the required bands.
+
+    Products of baseline `since` or later must state an offset for every band; older ones without any have zeros. A product that may not be
+    used has one row without a band, and `reject` says why: no quantification value, a baseline that is no number, a band listed twice, some
+    required bands without an offset (partial), or none where they are mandatory (missing).
+    """
     q = F.xpath_double(xml, F.lit("//BOA_QUANTIFICATION_VALUE"))
-    bands, values = F.xpath(xml, F.lit("//BOA_ADD_OFFSET/@band_id")), F.xpath(xml, F.lit("//BOA_ADD_OFFSET/text()"))
-    rows = df.select(*keys, q.alias("quantification"), F.explode(F.arrays_zip(bands.alias("band"), values.alias("value"))).alias("z"))
-    return rows.select(*keys, "quantification", F.col("z.band").alias("band"), F.col("z.value").cast("double").alias("offset"))
+    named, values = F.xpath(xml, F.lit("//BOA_ADD_OFFSET/@band_id")), F.xpath(xml, F.lit("//BOA_ADD_OFFSET/text()"))
+    required = F.array(*[F.lit(b) for b in bands])
+    rows = df.select(*keys, q.alias("quantification"), F.col(baseline).try_cast("double").alias("__b"), named.alias("__named"), F.transform(values, lambda v: v.try_cast("double")).alias("__values"))
+    lacks = F.size(F.array_except(required, "__named")) > 0
+    broken = (F.size("__named") != F.size("__values")) | F.exists("__values", lambda v: v.isNull())
+    reject = (
+        F.when(F.isnan("quantification") | (F.col("quantification") <= 0) | F.col("quantification").isNull(), "quantification")
+        .when(F.col("__b").isNull(), "baseline")
+        .when(F.size(F.array_distinct("__named")) != F.size("__named"), "duplicate")
+        .when((F.size("__named") == 0) & (F.col("__b") >= since), "missing")
+        .when((F.size("__named") > 0) & (lacks | broken), "partial")
+    )
+    offset = lambda band: F.when(F.size("__named") == 0, F.lit(0.0)).otherwise(F.element_at("__values", F.array_position("__named", band).cast("int")))
+    listed = F.when(F.col("reject").isNull(), F.transform(required, lambda band: F.struct(band.alias("band"), offset(band).alias("offset")))).otherwise(F.array(F.lit(None).cast("struct<band: string, offset: double>")))
+    return rows.withColumn("reject", reject).select(*keys, "quantification", F.explode(listed).alias("z"), "reject").select(*keys, "quantification", "z.band", "z.offset", "reject")
 
 
 def decode_cells(df: DataFrame, raw: str, x: str, y: str, cell_id: str, scale: float, offset: float, nodata: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,16 +12,37 @@ from tessera.operators.quality import fingerprint
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Publish as Parquet; readers see all of it or none. With partitions, only those in df are replaced."""
+    """Write as Parquet over what is there; a job that fails may leave nothing (see publish_table). With partitions, only those in df are replaced."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def publish_table(df: DataFrame, path: str) -> None:
+    """Publish as Parquet by rename: the table is written whole beside its place and then takes it, so df may read the table it replaces.
+
+    A job that fails leaves the old table as it was. Between two renames there is none for a moment; the old one is deleted last.
+    """
+    spark, token = df.sparkSession, uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.next-{token}", f"{path.rstrip('/')}.old-{token}"
+    df.write.parquet(fresh)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    replaced = files.exists(paths(path))
+    if replaced and not files.rename(paths(path), paths(old)):
+        raise OSError(f"{path} could not be moved aside")
+    if not files.rename(paths(fresh), paths(path)):
+        if replaced:
+            files.rename(paths(old), paths(path))
+        raise OSError(f"{fresh} could not take the place of {path}")
+    if replaced:
+        files.delete(paths(old), True)
+
+
 def write_report(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Publish a report table as CSV in a stated order; for tables of report size."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Publish a table as CSV in a stated order: files by ranges of the order, sorted inside, so their names sort as the rows do."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def table_record(df: DataFrame) -> DataFrame:

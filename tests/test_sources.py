@@ -56,3 +56,37 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
     assert sorted((r["d"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [(1, "a"), (2, "c")]
     manifest = spark.createDataFrame([(1,), (3,)], "d int")
     assert [r["d"] for r in W.pending_parts(manifest, spark.read.parquet(f"{tmp_path}/p"), ["d"]).collect()] == [3]
+
+
+def test_offsets_are_mandatory_from_a_baseline_on(spark):
+    def xml(*bands, q="10000"):
+        return f"<p><BOA_QUANTIFICATION_VALUE>{q}</BOA_QUANTIFICATION_VALUE>" + "".join(f'<BOA_ADD_OFFSET band_id="{b}">{v}</BOA_ADD_OFFSET>' for b, v in bands) + "</p>"
+
+    rows = [
+        ("whole", "04.00", xml(("1", "-1000"), ("0", "-900"))), ("old", "02.14", xml()), ("new", "05.09", xml()), ("part", "02.14", xml(("0", "-900"))), ("text", "04.00", xml(("0", "-900"), ("1", "x"))),
+        ("twice", "04.00", xml(("0", "1"), ("0", "2"), ("1", "3"))), ("zero", "04.00", xml(("0", "1"), ("1", "1"), q="0")), ("odd", "N/A", xml()), ("null", "04.00", None),
+    ]
+    out = R.band_offsets(spark.createDataFrame(rows, "id string, base string, x string"), "x", ["id"], "base", ["0", "1"]).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["id"], []).append((r["band"], r["offset"], r["reject"]))
+    assert got["whole"] == [("0", -900.0, None), ("1", -1000.0, None)] and got["old"] == [("0", 0.0, None), ("1", 0.0, None)]
+    assert {k: v[0][2] for k, v in got.items() if v[0][0] is None} == {"new": "missing", "part": "partial", "text": "partial", "twice": "duplicate", "zero": "quantification", "odd": "baseline", "null": "quantification"}
+
+
+def test_published_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    W.publish_table(spark.range(5).toDF("a"), path)
+    W.publish_table(spark.read.parquet(path).where("a > 2"), path)
+    assert sorted(r["a"] for r in spark.read.parquet(path).collect()) == [3, 4]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|Division"):
+        W.publish_table(spark.range(5).selectExpr("1 div (id - 3) AS a"), path)
+    assert sorted(r["a"] for r in spark.read.parquet(path).collect()) == [3, 4]
+
+
+def test_reports_keep_their_order_over_several_files(spark, tmp_path):
+    import glob
+
+    W.write_report(spark.range(1000).selectExpr("lpad(cast((id * 37) % 1000 as string), 4, '0') AS id").repartition(7), f"{tmp_path}/r", ["id"])
+    lines = [x for f in sorted(glob.glob(f"{tmp_path}/r/part-*.csv")) for x in open(f).read().split()[1:]]
+    assert lines == [f"{i:04d}" for i in range(1000)]
