@@ -98,17 +98,17 @@ def train(blocked: list[str], allowed: list[str], bits: int = 18, steps: int = 3
     y = np.array([1.0] * len(blocked) + [0.0] * len(allowed))
     share = np.where(y > 0, prior / max(1, len(blocked)), (1 - prior) / max(1, len(allowed)))
     size = np.array([len(r) for r in rows])
-    x = np.zeros((len(rows), len(known) + 1), np.float32)
+    x = np.zeros((len(rows), len(known)), np.float32)
     x[np.repeat(np.arange(len(rows)), size), column] = np.repeat(1 / np.sqrt(np.maximum(1, size)), size)
-    x[:, -1] = 1
-    w = np.zeros(x.shape[1])
+    # the weights stay sums of rows, so the descent runs over the rows' own coefficients and products
+    inner, of, bias = (x @ x.T).astype(np.float64), np.zeros(len(rows)), 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = x.T @ (share * (p - y)) * 4
-        step[:-1] += l2 * w[:-1]
-        w -= rate * step
+        p = 1 / (1 + np.exp(-np.clip(inner @ of + bias, -30, 30)))
+        miss = share * (p - y) * 4
+        of -= rate * (miss + l2 * of)
+        bias -= rate * miss.sum()
     out = np.zeros((2 << bits) + 1)
-    out[known], out[-1] = w[:-1], w[-1]
+    out[known], out[-1] = of @ x, bias
     return out
 
 
