@@ -4,8 +4,8 @@ Features are hashed character n-grams (1 to 4 code points of the lower-cased tex
 all n-grams of the text. A linear decision is then the mean weight over a text's n-grams, so a whole batch of texts is scored with
 a few array passes and no text is ever cut.
 
-The decisions only say which learned language is nearest. A text of which too few 3-grams occur in that language's training texts is claimed by
-none; how few is set for each language on its training texts, one half against the other.
+The decisions only say which learned language is nearest. A text of which too few 3-grams occur in that language's training texts is not
+claimed by it; how few is set for each language on its training texts, one half against the other.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,14 +161,14 @@ def decide(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
     return lang, score
 
 
-def predict_texts(model: LanguageModel, texts: list[str | None], most: int = 1_000_000) -> tuple[list[str], list[float]]:
-    """lang_pred and score of each text; `und` and 0 for a null, a text without a letter, and one that no language claims.
+def predict_texts(model: LanguageModel, texts: list[str | None], most: int = 1_000_000) -> tuple[list[str], list[float], list[bool]]:
+    """The nearest language, score, and whether that language claims the text; `und`, 0 and no for a null and a text without a letter.
 
     Works through about `most` n-grams at once.
     """
-    out, scores = ["und"] * len(texts), [0.0] * len(texts)
+    out, scores, own = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
     if not model.languages:
-        return out, scores
+        return out, scores, own
     rows, held, marks, starts, size = [], [], [], [], 0
 
     def flush() -> None:
@@ -182,9 +182,8 @@ def predict_texts(model: LanguageModel, texts: list[str | None], most: int = 1_0
         for k in range(len(model.pairs)):
             sums[:, k] = np.add.reduceat(np.ascontiguousarray(model.weights[:, k])[ids], starts, dtype=np.float64)
         lang, score = decide(model, sums / n + model.bias) if model.pairs else (np.zeros(len(rows), int), np.ones(len(rows)))
-        for i, a, b, own in zip(rows, lang, score, claimed(model, lang, marks), strict=True):
-            if own:
-                out[i], scores[i] = model.languages[a], round(float(b), 9)
+        for i, a, b, c in zip(rows, lang, score, claimed(model, lang, marks), strict=True):
+            out[i], scores[i], own[i] = model.languages[a], round(float(b), 9), bool(c)
         rows, held, marks, starts, size = [], [], [], [], 0
 
     for i, text in enumerate(texts):
@@ -198,7 +197,7 @@ def predict_texts(model: LanguageModel, texts: list[str | None], most: int = 1_0
             if size >= most:
                 flush()
     flush()
-    return out, scores
+    return out, scores, own
 
 
 def held_out_column():
@@ -207,40 +206,45 @@ def held_out_column():
 
 
 def train_language_model(docs: DataFrame, per_language: int = 200, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
-    """Fit on a bounded sample: about `per_language` (at most twice as many) labelled documents of each language, none held out.
+    """Fit on a bounded sample: about `per_language` (at most twice as many) labelled documents of every language, none held out.
 
     The sample is drawn by a hash of doc_id, in proportion to each language's count over all documents; the count reads two columns.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    keep = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, per_language / n)) + 1))
-    rows = usable.where(keep).limit(2 * per_language * max(1, len(counts))).select("text", "lang").collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
+    drawn = usable.join(counts, "lang").withColumn("__draw", draw).where(F.col("__draw") <= F.floor(1e6 * per_language / F.col("__n")))
+    # a row for each language and place in its own ranking, so that no language takes another's places
+    ranked = drawn.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__draw", "doc_id", "text")))
+    rows = ranked.where(F.col("__rank") <= 2 * per_language).select("text", "lang").collect()
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], families)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to every document, judged by its whole text alone. Columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "claimed")) -> DataFrame:
+    """Add lang_pred, score and claimed (or as `names` says) to every document, judged by its whole text alone. Columns of these names are replaced.
+
+    lang_pred is the nearest learned language, and claimed says whether the text is like that language's training texts at all. A null text
+    and one without a letter have `und`, 0 and false; very long texts are read whole, in slices of n-grams.
+    """
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            lang, score = predict_texts(sent.value, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            lang, score, own = predict_texts(sent.value, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(own, pa.bool_())], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
-    """Language of every document.
+    """Language of every document: the nearest learned one, and whether it claims the text.
 
-    Null or letterless texts, and those that no learned language claims, give `und` with score 0; empty tables give no rows; repeated rows are judged alike; other columns are not read.
+    Null and letterless texts give `und` with score 0; empty tables give no rows; repeated rows are judged alike; other columns are not read.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train_language_model(docs)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score", "claimed")
