@@ -2,10 +2,12 @@
 
 Regular expressions propose spans; five labelers (form, cue words, marks around the span, shape, word likeness) vote on each; expectation
 maximisation over the counts of vote patterns estimates how reliable each labeler is; a logistic regression trained on the resulting
-soft labels judges the spans. The base kinds (email, ip, card, phone) are fixed by their patterns and always stay; the classifier adds
-spans of the other kinds (account, secret).
+soft labels judges the spans, by the votes and by what the span looks like (length, share of digits, letter case). The base kinds (email, ip,
+card, phone) are fixed by their patterns and always stay; the classifier adds spans of the other kinds (account, secret).
 
-The number of vote patterns is bounded by construction (kinds x 3 to the power of the labelers), so what reaches the driver is too.
+Counts are over all documents. Each kind weighs alike in the maximisation, whatever its number of spans, and inside a kind a pattern weighs by
+its count: cards are a hundred times as many as keys and would settle every labeler's reliability for them. The number of patterns is bounded
+by construction (kinds, 3 to the power of the labelers, and the steps of length, digits and case), so what reaches the driver is too.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ KEY = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+"
 BASE_KINDS = ["email", "ip", "card", "phone"]
 ADDED_KINDS = ["account", "secret"]
 LABELERS = ["form", "cue", "mark", "shape", "wordlike"]
+#: What the classifier sees of a span besides the votes: whole powers of two of its length (12 at most), quarters of its digits, its letters' case.
+TRAITS = ["size", "digits", "case"]
 
 #: Gazetteer: words that announce personal data, in the corpus's languages.
 CUES = {
@@ -104,8 +108,8 @@ def ip_parts_fit(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda p: let(F.regexp_replace(p, "^0+", ""), lambda d: (F.length(d) < 3) | ((F.length(d) == 3) & (d <= "255"))))
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `found`: per document an array of (kind, s, e, base, form, cue, mark, shape, wordlike), by kind as listed, then start.
+def candidates(docs: DataFrame, text: str = "text", found: str = "found") -> DataFrame:
+    """Add a column (`found` unless named otherwise, replaced where it is there): per document an array of (kind, s, e, the labelers' votes, the traits), by kind as listed, then start.
 
     A null text is read as empty and has none. Votes are 1 (personal), -1 (not) or 0 (no opinion).
     """
@@ -129,6 +133,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
                 F.when(F.right(x["left"], F.lit(1)).isin('"', "'", "=", ":", "<") | F.left(x["right"], F.lit(1)).isin('"', "'", ">"), 1).otherwise(0).alias("mark"),
                 shape(m, share).alias("shape"),
                 F.when(m.rlike(r"^[A-Za-z]+[-_/]?[A-Za-z]*[0-9]*$") & ~m.rlike(r"^[A-Z0-9]+$"), -1).otherwise(0).alias("wordlike"),
+                F.least(F.lit(12), F.floor(F.log2(F.length(m)))).cast("int").alias("size"),
+                F.floor(share * 4).cast("int").alias("digits"),
+                (F.when(m.rlike("[A-Z]"), 1).otherwise(0) + F.when(m.rlike("[a-z]"), 2).otherwise(0)).alias("case"),
             )
 
         return F.transform(F.filter(raw, keep), votes)
@@ -138,18 +145,22 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     is_card = lambda x: let(n_digits(x), lambda n: (n >= 13) & (n <= 19) & luhn(x["m"]))
     yes, no = (lambda x: F.lit(1)), (lambda x: F.lit(-1))
     digit_runs = matches(t, DIGITS, has_digit)
-    found = let(
+    spotted = let(
         F.struct(matches(t, EMAIL, F.instr(t, "@") > 0).alias("email"), matches(t, IP, t.rlike(r"[0-9]\.[0-9]")).alias("ip"), F.filter(digit_runs, lambda x: n_digits(x) >= 9).alias("digits"), matches(t, PHONE, F.instr(t, "+") > 0).alias("phone"), matches(t, KEY, has_digit).alias("key")),
         lambda r: F.concat(
             spans("email", r["email"], lambda x: F.lit(True), yes),
             spans("ip", r["ip"], lambda x: ip_parts_fit(x["m"]), yes),
             spans("card", r["digits"], is_card, yes),
             spans("phone", r["phone"], lambda x: n_digits(x).between(9, 15), yes),
-            spans("account", r["digits"], lambda x: ~is_card(x) & (n_digits(x) <= 34), no),
+            spans("account", r["digits"], lambda x: ~is_card(x), no),
             spans("secret", r["key"], lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & (F.instr(x["m"], "/") == 0), lambda x: F.when(x["m"].rlike(SECRET_FORMS), 1).otherwise(0)),
         ),
     )
-    return docs.withColumn("found", found)
+    return docs.withColumn(found, spotted)
+
+
+#: Spans that each kind counts for in the maximisation.
+WEIGHT_OF_A_KIND = 1000.0
 
 
 @dataclass
@@ -186,27 +197,33 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], roun
     return prior, table, post
 
 
-def _features(kind: str, votes: tuple[int, ...]) -> list[str]:
-    return ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, votes, strict=True) if v)]
+def _features(kind: str, votes: tuple[int, ...], traits: tuple[int, ...]) -> list[str]:
+    return ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, votes, strict=True) if v), *(f"{name}={v}" for name, v in zip(TRAITS, traits, strict=True))]
 
 
-def fit(found: DataFrame, rounds: int = 300, rate: float = 0.5, l2: float = 1e-3) -> PiiModel:
-    """Train on all candidates of a table with `found`: one count for each vote pattern comes to the driver."""
-    counted = found.select(F.explode("found").alias("x")).groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", *LABELERS)]).agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted((r["kind"], tuple(r[c] for c in LABELERS), float(r["n"])) for r in counted.collect())
+def fit(docs: DataFrame, rounds: int = 300, rate: float = 0.5, l2: float = 1e-3, found: str = "found") -> PiiModel:
+    """Train on all candidates of a table with `found`: one count for each pattern of kind, votes and traits comes to the driver."""
+    counted = docs.select(F.explode(found).alias("x")).groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", *LABELERS, *TRAITS)]).agg(F.count(F.lit(1)).alias("n"))
+    rows = sorted((r["kind"], tuple(r[c] for c in LABELERS), tuple(r[c] for c in TRAITS), float(r["n"])) for r in counted.collect())
     if not rows:
         return PiiModel(0.5, {}, {})
-    # a pattern weighs as the logarithm of its count, lest the commonest kind drown the others
-    patterns = [(v, math.log1p(n)) for _, v, n in rows]
-    prior, table, post = expectation_maximisation(patterns)
+    of_kind: dict[str, float] = {}
+    for kind, _, _, n in rows:
+        of_kind[kind] = of_kind.get(kind, 0.0) + n
+    counts = [WEIGHT_OF_A_KIND * n / of_kind[kind] for kind, _, _, n in rows]
+    votes: dict[tuple[int, ...], float] = {}
+    for (_, v, _, _), n in zip(rows, counts, strict=True):
+        votes[v] = votes.get(v, 0.0) + n
+    prior, table, post = expectation_maximisation(sorted(votes.items()))
+    belief = dict(zip(sorted(votes), post, strict=True))
     w: dict[str, float] = {}
-    total = sum(n for _, n in patterns)
+    total = sum(counts)
     for _ in range(rounds):
         step: dict[str, float] = {}
-        for (kind, v, _), (_, n), p in zip(rows, patterns, post, strict=True):
-            names = _features(kind, v)
+        for (kind, v, t, _), n in zip(rows, counts, strict=True):
+            names = _features(kind, v, t)
             z = sum(w.get(f, 0.0) for f in names)
-            miss = n / total * (p - 1 / (1 + math.exp(-z)))
+            miss = n / total * (belief[v] - 1 / (1 + math.exp(-z)))
             for f in names:
                 step[f] = step.get(f, 0.0) + miss
         for f, d in step.items():
@@ -214,8 +231,8 @@ def fit(found: DataFrame, rounds: int = 300, rate: float = 0.5, l2: float = 1e-3
     return PiiModel(prior, dict(zip(LABELERS, table, strict=True)), w)
 
 
-def classify(found: DataFrame, model: PiiModel, threshold: float = 0.5) -> DataFrame:
-    """Replace `found` by `spans`: array of (kind, s, e), base kinds whole, added kinds where the classifier says at least threshold."""
+def classify(docs: DataFrame, model: PiiModel, threshold: float = 0.5, found: str = "found", spans: str = "spans") -> DataFrame:
+    """Replace the column of candidates by one of spans: array of (kind, s, e), base kinds whole, added kinds where the classifier says at least threshold."""
     weight = model.weights
     limit = math.log(threshold / (1 - threshold))
 
@@ -223,10 +240,11 @@ def classify(found: DataFrame, model: PiiModel, threshold: float = 0.5) -> DataF
         parts = [F.lit(weight.get("bias", 0.0))]
         parts += [F.when(x["kind"] == k, weight[f"kind={k}"]).otherwise(0.0) for k in ADDED_KINDS if f"kind={k}" in weight]
         parts += [F.when(x[c] == v, weight[f"{c}={v}"]).otherwise(0.0) for c in LABELERS for v in (-1, 1) if f"{c}={v}" in weight]
+        parts += [F.when(x[c] == v, weight[f"{c}={v}"]).otherwise(0.0) for c in TRAITS for v in range(13) if f"{c}={v}" in weight]
         return x["kind"].isin(*BASE_KINDS) | (reduce(lambda a, b: a + b, parts) >= limit)
 
-    spans = F.transform(F.filter("found", keep), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return found.withColumn("spans", spans).drop("found")
+    kept = F.transform(F.filter(found, keep), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return docs.withColumn(spans, kept).drop(found)
 
 
 def mask(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
