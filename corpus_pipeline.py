@@ -10,12 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, jaccard, language, pii
-from tessera.llm.shared import stage
+from tessera.llm.shared import set_aside, stage
 from tessera.session import ship_code, small_batches
 
-#: A document stays if a learned language claims it, with at least this score. What no language claims has `und`; among four languages a claimed text scores above.
-LEAST_SCORE = 0.2
-
 
 def ready(spark: SparkSession) -> None:
     ship_code(spark)
@@ -23,38 +20,61 @@ def ready(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a learned language; texts without a letter, nulls and texts that no language claims go."""
+    """Keep documents of a learned language; texts without a letter, nulls and texts that no language claims go.
+
+    A text of any length is judged whole; repeated rows are judged alike; an empty table gives none. Other columns stay as they are, those
+    that are named like the operator's too; lang and doc_id must be there to learn from.
+    """
     ready(spark)
-    judged = language.identify(docs, language.train_language_model(docs))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    names = tuple(set_aside(docs, c) for c in ("lang_pred", "score", "claimed"))
+    judged = language.identify(docs, language.train_language_model(docs), names=names)
+    return judged.where(names[2]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near copies, and one of its repeated rows."""
+    """Keep the document with the least doc_id of each group of near copies, and one of its repeated rows.
+
+    Null, empty and blank texts are near nothing and stay; a text of any length is compared whole; an empty table gives none. Columns
+    other than doc_id and text are carried along, whatever their names.
+    """
     ready(spark)
-    found = jaccard.jaccard_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = set_aside(docs, "kept")
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which no benchmark item occurs."""
+    """Keep documents in which no benchmark item occurs.
+
+    Null and empty texts stay, and so does everything where the benchmark is empty; long texts are searched whole; all columns are kept.
+    """
     ready(spark)
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put [KIND] in the place of personal data; n_chars follows the text."""
+    """Put [KIND] in the place of personal data; n_chars, where there is one, follows the text.
+
+    Null and empty texts stay as they are (and a null's n_chars too); long texts are masked whole; repeated rows alike; an empty table
+    gives none. Other columns stay as they are, those that are named like the operator's too.
+    """
     ready(spark)
-    found = pii.candidates(docs)
-    masked = pii.mask(pii.classify(found, pii.fit(found)))
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    found, spans = set_aside(docs, "found"), set_aside(docs, "spans")
+    candidates = pii.candidates(docs, found=found)
+    masked = pii.mask(pii.classify(candidates, pii.fit(candidates, found=found), found=found, spans=spans), spans=spans)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return masked.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add each document's token count and the digests of its ids and of what they decode to."""
+    """Add each document's token count and the digests of its ids and of what they decode to: n_tokens, ids_sha256, decoded_sha256.
+
+    Columns of these names are replaced, all others kept. Null texts are read as empty; an empty table gives no rows.
+    """
     ready(spark)
-    return bpe.encode_texts(docs, bpe.tokenizer_path(bpe.TOKENIZER))
+    return bpe.digest(docs, bpe.tokenizer_path(bpe.TOKENIZER))
 
 
 STAGES = [
