@@ -143,9 +143,9 @@ def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PER_SENSOR = f"{_STORES}, per AS (SELECT day, sensor, count(*) AS n, avg(abs(p - y)) AS mae, avg(p - y) AS bias, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY day) AS share FROM pairs GROUP BY 1, 2)"
 
 
-@query("d47_sensor_per_date", f"WITH {_PER_SENSOR} SELECT day, sensor, n, round(mae, 4) AS mae, round(bias, 4) AS bias, round(share, 6) AS share FROM per")
+@query("d47_sensor_per_date", f"WITH {_PER_SENSOR} SELECT day, sensor, n, round(mae, 6) AS mae, round(bias, 6) AS bias, round(share, 6) AS share FROM per")
 def d47_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(C.sensor_tables(store_rows(spark, sf_dir), "sensor", "day", "y", "p")[0], "mae", "bias", digits=4), "share")
+    return rounded(C.sensor_tables(store_rows(spark, sf_dir), "sensor", "day", "y", "p")[0], "mae", "bias", "share")
 
 
 @query("d47_sensor_summary", f"WITH {_PER_SENSOR} SELECT sensor, count(*) AS dates, CAST(sum(n) AS BIGINT) AS rows, round(avg(mae), 4) AS mae, round(avg(bias), 4) AS bias, count(*) FILTER (share = 1) AS dates_alone FROM per GROUP BY 1")
