@@ -213,7 +213,8 @@ def train_language_model(docs: DataFrame, per_language: int = 200, families: dic
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column())
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    drawn = usable.join(counts, "lang").withColumn("__draw", draw).where(F.col("__draw") <= F.floor(1e6 * per_language / F.col("__n")))
+    # a row a language, as many as the model has anyway: the texts stay where they are
+    drawn = usable.join(F.broadcast(counts), "lang").withColumn("__draw", draw).where(F.col("__draw") <= F.floor(1e6 * per_language / F.col("__n")))
     # a row for each language and place in its own ranking, so that no language takes another's places
     ranked = drawn.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__draw", "doc_id", "text")))
     rows = ranked.where(F.col("__rank") <= 2 * per_language).select("text", "lang").collect()
