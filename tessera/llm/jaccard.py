@@ -9,9 +9,12 @@ nothing. An n-gram in up to `few` regions ties its sets in pairs, whose counts a
 commoner n-grams both hold can't reach k. Two sets that could reach k by commoner n-grams alone are tied by any of those. What is tied
 forms clusters, outside which no link exists. The order and the counts are over all documents, and no pair that could link is left out.
 
-Inside a cluster, sets are sorted by size and cut into blocks. Each pair of blocks whose sizes are close enough is one task: overlap
-counts accumulate over blocks of columns, pairs that can no longer reach the bound are discarded, and a spanning forest of the links
-found comes out, so a group of a thousand near copies gives a thousand rows and not a million. Components of those links are the classes.
+Inside a cluster, sets are cut into blocks by size. A pair of blocks whose sizes are close enough is one task: overlap counts accumulate
+over blocks of columns, pairs that can no longer reach the bound are discarded, and a spanning forest of the links found comes out, so a
+group of a thousand near copies gives a thousand rows and not a million. What is linked already is not compared again: first each block is
+multiplied with itself; then one set of each component so far, its representative, with all others; last, the other sets of a component with
+those of other components only. So near copies of one document, however many, meet in a number of tasks that grows as they do.
+Components of the links are the classes.
 """
 
 from __future__ import annotations
@@ -136,14 +139,39 @@ def _least_k(n, percent: int):
     return F.least(size, 2 * p) - p + 1
 
 
+#: Sampled sets that must hold an n-gram before it may count as hot.
+HOT_LEAST = 50
+
+
+def hot_grams(sets: DataFrame, few: int, share: float = 0.001, one_in: int = 16) -> list[int]:
+    """N-grams in more than about `share` of all regions, by the sets of one in `one_in` fingerprints: there are at most (mean region) / share of them.
+
+    All are in more than `few` regions for certain. They only say how the work is dealt out; what is missing here is counted like any other.
+    """
+    part = sets.where("n > 0 and grams is not null").where(F.pmod(F.xxhash64("d"), F.lit(one_in)) == 0).select("d", "n", "grams").dropDuplicates(["d"])
+    least = max(few, int(share * part.count()))
+    counts = part.mapInArrow(_entries, "gram long, d long, n int").groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max(least, HOT_LEAST))
+    return sorted(r["gram"] for r in counts.select("gram").collect())
+
+
 def candidate_clusters(sets: DataFrame, percent: int, few: int) -> DataFrame:
     """(d, cluster) of every set that may link to a different one."""
-    entries = sets.where("n > 0 and grams is not null").select("d", "n", "grams").mapInArrow(_entries, "gram long, d long, n int")
+    hot = np.array(hot_grams(sets, few), np.int64)
+    sent = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _entries(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.isin(batch.column(0).to_numpy(), sent.value))], names=["gram", "d", "n", "hot"])
+
+    entries = sets.where("n > 0 and grams is not null").select("d", "n", "grams").mapInArrow(flagged, "gram long, d long, n int, hot boolean")
     # the same set may come from several tasks: it counts once
     by_gram = Window.partitionBy("gram").orderBy("d")
-    ranked = entries.withColumns({"again": F.row_number().over(Window.partitionBy("gram", "d").orderBy("n")), "rank": F.dense_rank().over(by_gram)})
-    hits = ranked.withColumn("df", F.max("rank").over(Window.partitionBy("gram"))).where("df > 1 and again = 1")
-    hits = stage(hits.select("gram", "d", "n", (F.col("df") > few).alias("common")), "hits")
+    ranked = entries.where("not hot").withColumns({"again": F.row_number().over(Window.partitionBy("gram", "d").orderBy("n")), "rank": F.dense_rank().over(by_gram)})
+    hits = ranked.withColumn("df", F.max("rank").over(Window.partitionBy("gram"))).where("df > 1 and again = 1").select("gram", "d", "n", (F.col("df") > few).alias("common"), "hot")
+    if len(hot):
+        # a hot n-gram is common, and its sets are dealt out by themselves
+        hits = hits.union(entries.where("hot").select("gram", "d", "n", F.lit(True).alias("common"), "hot").dropDuplicates(["gram", "d"]))
+    hits = stage(hits, "hits")
     stats = hits.groupBy("d").agg(F.count(F.lit(1)).alias("held"), F.count_if("common").alias("common_n"), F.first("n").alias("n"))
     stats = stage(stats.withColumn("k", _least_k(F.col("n"), percent)).where("held >= k").select("d", "common_n", "k", "n"), "stats")
     kept = hits.join(stats.select("d", (F.col("common_n") >= F.col("k")).alias("burdened")), "d")
@@ -155,9 +183,11 @@ def candidate_clusters(sets: DataFrame, percent: int, few: int) -> DataFrame:
     pairs = pairs.join(side("a"), "a").where("shared >= k_a - common_a").join(side("b"), "b")
     pairs = pairs.where("shared >= greatest(k_a, k_b) - least(common_a, common_b)").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
 
-    heavy = kept.where("common and burdened").select("gram", "d")
-    least = heavy.groupBy("gram").agg(F.min("d").alias("a"), F.max("d").alias("last")).where("a < last").select("gram", "a")
-    edges = pairs.union(heavy.join(least, "gram").select("a", F.col("d").alias("b")))
+    heavy = kept.where("common and burdened").select("gram", "d", "hot")
+    least = heavy.groupBy("gram", "hot").agg(F.min("d").alias("a"), F.max("d").alias("last")).where("a < last").select("gram", "a", "hot")
+    edges = pairs.union(heavy.where("not hot").join(least.where("not hot").select("gram", "a"), "gram").select("a", F.col("d").alias("b")))
+    if len(hot):  # there are few hot n-grams, by their bound
+        edges = edges.union(heavy.where("hot").join(F.broadcast(least.where("hot").select("gram", "a")), "gram").select("a", F.col("d").alias("b")))
     return components(edges).select(F.col("v").alias("d"), F.col("component").alias("cluster"))
 
 
@@ -204,20 +234,36 @@ def overlap_links(left: list[np.ndarray], right: list[np.ndarray], percent: int,
     return np.argwhere(live & (count >= need))
 
 
-def block_plan(clusters: DataFrame, percent: int, block: int) -> DataFrame:
-    """(d, cluster, tasks): the pairs of blocks (i, j, side) that each clustered set takes part in. clusters: (d, cluster, n)."""
-    ranked = clusters.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("n", "d")) - 1) / block))
-    sizes = ranked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    i, j = sizes.alias("i"), sizes.alias("j")
-    pairs = i.join(j, (F.col("i.cluster") == F.col("j.cluster")) & (F.col("i.block") <= F.col("j.block")) & (100 * F.col("i.high") >= percent * F.col("j.low"))).select(F.col("i.cluster").alias("cluster"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
-    of = pairs.select("cluster", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).union(pairs.where("i <> j").select("cluster", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side")))
-    tasks = of.groupBy("cluster", "block").agg(F.collect_list(F.struct("i", "j", "side")).alias("tasks"))
-    return ranked.join(tasks, ["cluster", "block"]).select("d", "cluster", "tasks")
+def size_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Add `block`: sets of a cluster in the order of their sizes, about `block` at a time; a size that many sets have is dealt out by hash. rows: (d, cluster, n, ...)."""
+    counts = rows.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("__c"))
+    smaller = F.sum("__c").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__before", F.coalesce(smaller, F.lit(0)))
+    sub = F.pmod(F.xxhash64("d"), F.ceil(F.col("__c") / block))
+    return rows.join(counts, ["cluster", "n"]).withColumn("block", F.floor(F.col("__before") / block) * (1 << 20) + sub).drop("__c", "__before")
 
 
-def cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside clusters, thinned to a spanning forest for each pair of blocks. members: (d, cluster, tasks, grams)."""
-    rows = members.select("cluster", F.explode("tasks").alias("t"), "d", "grams").select("cluster", "t.i", "t.j", "t.side", "d", "grams")
+def block_pairs(left: DataFrame, right: DataFrame | None, percent: int) -> DataFrame:
+    """(d, cluster, i, j, side): every task that a set takes part in. Without right, left's blocks meet each other and themselves.
+
+    left, right: (d, cluster, n, block, component). Blocks whose sizes are too far apart do not meet, nor do two that hold one component.
+    """
+    sizes = lambda rows: rows.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    a = sizes(left)
+    b = a if right is None else sizes(right)
+    i, j = a.alias("i"), b.alias("j")
+    near = (100 * F.col("i.high") >= percent * F.col("j.low")) & (100 * F.col("j.high") >= percent * F.col("i.low"))
+    apart = (F.col("i.c0") != F.col("i.c1")) | (F.col("j.c0") != F.col("j.c1")) | (F.col("i.c0") != F.col("j.c0"))
+    meet = (F.col("i.cluster") == F.col("j.cluster")) & near & apart
+    pairs = i.join(j, meet & (F.col("i.block") <= F.col("j.block")) if right is None else meet).select(F.col("i.cluster").alias("cluster"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
+    first = left.join(pairs.withColumn("block", F.col("i")), ["cluster", "block"]).select("d", "cluster", "i", "j", F.lit(0).alias("side"))
+    other = pairs.withColumn("block", F.col("j"))
+    second = (left.join(other.where("i <> j"), ["cluster", "block"]) if right is None else right.join(other, ["cluster", "block"])).select("d", "cluster", "i", "j", F.lit(1).alias("side"))
+    return first.union(second)
+
+
+def block_links(tasks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), thinned to a spanning forest for each task. tasks: (d, cluster, i, j, side); members: (d, grams)."""
 
     def product(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part[part["side"] == s].drop_duplicates("d").sort_values("d") for s in (0, 1)]
@@ -239,7 +285,46 @@ def cluster_links(members: DataFrame, percent: int) -> DataFrame:
         out = [(root(v), v) for v in list(parent) if root(v) != v]
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
-    return rows.groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
+    return tasks.join(members, "d").groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
+
+
+def cluster_components(clusters: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(d, component): the components of all links inside clusters. clusters: (d, cluster, n); members: (d, grams)."""
+    placed = stage(size_blocks(clusters, block), "blocks")
+    own = placed.select("d", "cluster", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"))
+    # a set is in one block alone, so the forests that come out are stars with the components' least sets in the middle
+    stars = block_links(own, members, percent).select(F.col("b").alias("d"), F.col("a").alias("component"))
+    found = stage(placed.join(stars, "d", "left").withColumn("component", F.coalesce("component", "d")), "found")
+    # a cluster of one block is done
+    large = found.groupBy("cluster").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("cluster")
+    rest = stage(found.join(large, "cluster").drop("block"), "large")
+    if rest.isEmpty():
+        return found.select("d", "component")
+
+    def merged(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after links between them."""
+        return rows.join(components(links, thin=False).select(F.col("v").alias("component"), F.col("component").alias("__to")), "component", "left").withColumn("component", F.coalesce("__to", "component")).drop("__to")
+
+    first = rest.where("d = component")
+    links = block_links(block_pairs(size_blocks(first, block), None, percent), members, percent)
+    rest = stage(merged(rest.withColumn("__other", F.col("d") != F.col("component")), links), "large")
+    # sets that were represented, against what is in other components still
+    counts = rest.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("__c"), F.count_if("__other").alias("__o"))
+    several = counts.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.sum("__o").alias("others")).where("parts > 1 and others > 0").select("cluster")
+    open_ = stage(rest.join(several, "cluster").join(counts, ["cluster", "component"]), "open")
+    if not open_.isEmpty():
+        # those of large components in blocks of their own, which do not meet each other
+        others, plain = open_.where("__other"), ("d", "cluster", "n", "component", "block")
+        own = F.xxhash64("component", F.pmod(F.xxhash64("d"), F.ceil(F.col("__o") / block)))
+        others = others.where(F.col("__o") >= block).withColumn("block", own).select(*plain).union(size_blocks(others.where(F.col("__o") < block).drop("__c", "__o"), block).select(*plain))
+        named = size_blocks(open_.where("not __other").drop("__c", "__o"), block).withColumn("block", -1 - F.col("block")).select(*plain)
+        tasks = block_pairs(others, None, percent).union(block_pairs(others, named, percent))
+        links = block_links(tasks, members, percent)
+        of = open_.select(F.col("d").alias("a"), F.col("component").alias("ca"))
+        links = links.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        rest = merged(rest, links)
+    final = rest.select("d", F.col("component").alias("__to"))
+    return found.join(final, "d", "left").select("d", F.coalesce("__to", "component").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few: int = 8, block: int = 128, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -247,17 +332,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few:
 
     A null, empty or blank text has an empty set, links with nothing and is its own component. Fewer words than `width` make one shingle.
     Equal sets, rows with the same text among them, are one vertex. A null key takes part in links; a component of null keys alone has a null id.
-    Columns other than key and text are not read. An empty table gives no rows.
+    A text of any length is one set, whole. Columns other than key and text are not read, whatever their names. An empty table gives no rows.
     """
     sets = stage(text_sets(docs, width, percent, text, [key]), "sets")
     first = sets.where("n > 0").groupBy("d").agg(F.min(key).alias("first"), F.first("n").alias("n"))
     clusters = stage(candidate_clusters(sets, percent, few).join(first, "d"), "clusters")
-    # one row's text of each clustered set is shingled again, which moves less than keeping all sets whole
-    chosen = block_plan(clusters, percent, block).join(clusters.select("d", F.col("first").alias("__first")), "d")
-    again = docs.select(key, text).join(chosen, F.col(key).eqNullSafe(F.col("__first"))).select(F.col("d").alias("__d"), "cluster", "tasks", text)
-    members = text_sets(again, width, percent, text, ["__d", "cluster", "tasks"], whole=True).where("d = __d")
-    found = components(cluster_links(members, percent), thin=False)
-    vertex = first.drop("n").join(found.withColumnRenamed("v", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).select("d", "root", "first")
+    # one row's text of each clustered set is shingled again, which moves less than keeping all sets whole; the sets grow with the documents, so
+    # they are joined in the way that any size takes
+    chosen = clusters.select(F.col("d").alias("__d"), F.col("first").alias("__first")).hint("merge")
+    again = docs.select(key, text).join(chosen, F.col(key).eqNullSafe(F.col("__first"))).select("__d", text)
+    members = stage(text_sets(again, width, percent, text, ["__d"], whole=True).where("d = __d").select("d", "grams").dropDuplicates(["d"]), "members")
+    found = cluster_components(clusters.select("d", "cluster", "n"), members, percent, block)
+    vertex = first.drop("n").join(found, "d", "left").withColumn("root", F.coalesce("component", "d")).select("d", "root", "first")
     least = vertex.groupBy("root").agg(F.min("first").alias("component_id"))
     named = vertex.join(least, "root").select("d", "component_id")
     full = sets.where("n > 0").select(key, "n", "d").join(named, "d").select(key, F.col("n").alias("n_shingles"), "component_id")
@@ -265,4 +351,5 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few:
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Size of every document's set, and the least doc_id of its component."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -30,11 +30,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    return stage_at(df, scratch_path(df.sparkSession, name), codec)
+
+
+def stage_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def set_aside(df: DataFrame, name: str) -> str:
     """A name for a column of our own that no column of df has."""
     taken = {c.lower() for c in df.columns}
@@ -113,20 +122,25 @@ def components(edges: DataFrame, thin: bool = True, max_rounds: int = 60) -> Dat
     edges = edges.select("a", "b").where("a <> b")
     if thin:
         edges = edges.mapInArrow(_local_forest, edges.schema)
-    edges = stage(edges.distinct(), "edges")
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "edges")
+    edges = stage_at(edges.distinct(), path)
+    # distinct edges by their number and the sum of their hashes: equal where nothing changes any more, from one pass over what was written
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    seen = mark(edges)
     for _ in range(max_rounds):
         # large-star: every neighbour above v, and v itself, go to the least of v and its neighbours
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small-star: of v's neighbours at or below it, all go to the least
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        after = stage(small.where("a <> b").distinct(), "edges")
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        before, path = path, scratch_path(spark, "edges")
+        after = stage_at(small.where("a <> b").distinct(), path)
+        edges, last, seen = after, seen, mark(after)
+        discard(spark, before)
+        if seen == last:
             break
     else:
         raise RuntimeError("the components did not settle")
