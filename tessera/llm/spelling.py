@@ -242,7 +242,8 @@ def composed(words: DataFrame, block: int = 4000, piece: int = 20_000) -> DataFr
         kinds = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("form", pa.string()), ("form_n", pa.int64())])
 
         def given(part: pd.DataFrame) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pandas(near_words(part), schema=kinds, preserve_index=False)
+            found = near_words(part)
+            return pa.RecordBatch.from_arrays([pa.array(found[f.name].tolist(), f.type) for f in kinds], schema=kinds)
 
         held = pd.DataFrame()
         for batch in batches:
