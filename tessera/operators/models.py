@@ -47,31 +47,58 @@ def incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def gram_cells(rows: DataFrame, cell: Sequence[str], features: Sequence[str], target: str, weight: str | None = None) -> DataFrame:
-    """(cell, g_i_j, ...): weighted sums of products of (1, features, target), upper triangle."""
-    cols = ["__one", *features, target]
+    """(cell, m_1, ..., g_i_j, ...): weighted sums of products of (1, features, target), upper triangle.
+
+    Features and target are taken from their means over all rows (m_i, the same in every cell), so that columns far from zero lose no digits.
+    """
+    cols = [*features, target]
+    means = rows.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m_{i}") for i, c in enumerate(cols, 1)])
+    rows = rows.crossJoin(F.broadcast(means))  # one row
+    at = [F.lit(1.0), *[F.col(c) - F.col(f"m_{i}") for i, c in enumerate(cols, 1)]]
     w = F.col(weight) if weight else F.lit(1.0)
-    rows = rows.withColumn("__one", F.lit(1.0))
-    sums = [F.sum(F.col(a) * F.col(b) * w).alias(f"g_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    return rows.groupBy(*cell).agg(*sums)
+    sums = [F.sum(a * b * w).alias(f"g_{i}_{j}") for i, a in enumerate(at) for j, b in enumerate(at) if j >= i]
+    return rows.groupBy(*cell).agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(1, len(at))], *sums)
+
+
+def sum_names(k: int) -> list[str]:
+    """The columns of gram cells that add up, for k columns in all (one, features, target)."""
+    return [f"g_{i}_{j}" for i in range(k) for j in range(i, k)]
 
 
 def without_features(cells: DataFrame, features: Sequence[str], dropped: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """(gram cells, features) without some features: a choice of sums, no new pass over the rows."""
     k = len(features) + 2
     kept = [0, *[i for i, f in enumerate(features, 1) if f not in dropped], k - 1]
-    others = [c for c in cells.columns if not c.startswith("g_")]
+    others = [c for c in cells.columns if not c.startswith(("g_", "m_"))]
     sums = [F.col(f"g_{a}_{b}").alias(f"g_{i}_{j}") for i, a in enumerate(kept) for j, b in enumerate(kept) if j >= i]
-    return cells.select(*others, *sums), [f for f in features if f not in dropped]
+    return cells.select(*others, *[F.col(f"m_{a}").alias(f"m_{i}") for i, a in enumerate(kept) if i], *sums), [f for f in features if f not in dropped]
+
+
+def _elastic(c: np.ndarray, r: np.ndarray, alpha: float, l1_ratio: float, rounds: int = 10_000, tolerance: float = 1e-12) -> np.ndarray:
+    """argmin 1/2 b'cb - r'b + alpha (l1_ratio |b| + (1 - l1_ratio) / 2 b'b), by coordinate descent."""
+    b = np.zeros(len(r))
+    for _ in range(rounds):
+        moved = 0.0
+        for j in range(len(r)):
+            z = r[j] - c[j] @ b + c[j, j] * b[j]
+            new = np.sign(z) * max(abs(z) - alpha * l1_ratio, 0.0) / (c[j, j] + alpha * (1 - l1_ratio))
+            moved, b[j] = max(moved, abs(new - b[j])), new
+        if moved <= tolerance * max(1.0, np.abs(b).max(initial=0)):
+            return b
+    raise ValueError("coordinate descent did not settle")
 
 
-def ridge_by_fold(cells: DataFrame, fold: Sequence[str], features: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+def ridge_by_fold(cells: DataFrame, fold: Sequence[str], features: Sequence[str], alphas: Sequence[float], l1_ratio: float | None = None) -> DataFrame:
     """(fold, alpha, b_0, b_1, ...): ridge on standardised features (population deviation), the intercept free, written back to raw units; alpha 0 is least squares.
 
-    cells: gram cells joined to the folds that train on them. The sums of a fold are one row, so a task solves many folds at a time.
+    cells: gram cells joined to the folds that train on them. The sums of a fold are one row, so a task solves many folds at a time. With
+    l1_ratio it is the elastic net instead, alpha (l1_ratio |b| + (1 - l1_ratio) / 2 b'b) beside half the mean squared error. Where the
+    sums are weighted, a column `rows` gives the numbers of rows that ridge holds its penalty against.
     """
     k = len(features) + 2
-    names = [f"g_{i}_{j}" for i in range(k) for j in range(i, k)]
-    summed = cells.groupBy(*fold).agg(*[F.sum(n).alias(n) for n in names])
+    counted = "rows" in cells.columns
+    totals = [*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(1, k)), *(F.sum(n).alias(n) for n in sum_names(k))]
+    summed = cells.groupBy(*fold).agg(*totals, *([F.sum("rows").alias("rows")] if counted else []))
     schema = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in fold), "alpha double", *[f"b_{i} double" for i in range(k - 1)]])
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,12 +113,16 @@ def ridge_by_fold(cells: DataFrame, fold: Sequence[str], features: Sequence[str]
                 cov = g[1:, 1:] / n - np.outer(mean, mean)
                 sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
                 use = sd > 1e-12
+                centre = mean + np.array([row[f"m_{i}"] for i in range(1, k)])
                 for a in alphas:
                     b = np.zeros(k - 2)
                     if use.any():
-                        c = cov[:-1, :-1][np.ix_(use, use)] / np.outer(sd[use], sd[use])
-                        b[use] = np.linalg.solve(c + np.eye(use.sum()) * a / n, cov[:-1, -1][use] / sd[use]) / sd[use]
-                    out.append([*(row[f] for f in fold), float(a), float(mean[-1] - b @ mean[:-1]), *map(float, b)])
+                        c, r = cov[:-1, :-1][np.ix_(use, use)] / np.outer(sd[use], sd[use]), cov[:-1, -1][use] / sd[use]
+                        if l1_ratio is None:
+                            b[use] = np.linalg.solve(c + np.eye(use.sum()) * a / (row["rows"] if counted else n), r) / sd[use]
+                        else:
+                            b[use] = _elastic(c, r, a, l1_ratio) / sd[use]
+                    out.append([*(row[f] for f in fold), float(a), float(centre[-1] - b @ centre[:-1]), *map(float, b)])
             yield pd.DataFrame(out, columns=[*fold, "alpha", *[f"b_{i}" for i in range(k - 1)]])
 
     return summed.mapInPandas(solve, schema)

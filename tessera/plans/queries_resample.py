@@ -104,7 +104,10 @@ def f09p(spark: SparkSession, sf_dir: str) -> DataFrame:
 # rows of the split queries: one a supplier and quarter, blocks by nation
 _ROWS = "r AS (SELECT DISTINCT l_suppkey AS unit, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS day, year(l_shipdate) AS yr, l_suppkey % 6 AS block FROM lineitem)"
 _FOLDS = "f AS (SELECT 'temporal' AS family, yr AS held_year, CAST(NULL AS VARCHAR) AS held_block FROM r UNION SELECT 'spatial', NULL, CAST(block AS VARCHAR) FROM r UNION SELECT 'joint', yr, CAST(block AS VARCHAR) FROM r)"
-_ROLES = "roles AS (SELECT family, held_year, held_block, unit, day, yr, block, CASE WHEN family = 'temporal' AND yr = held_year THEN 'test' WHEN family = 'spatial' AND CAST(block AS VARCHAR) = held_block THEN 'test' WHEN family = 'joint' AND yr = held_year AND CAST(block AS VARCHAR) = held_block THEN 'test' WHEN family = 'joint' AND yr = held_year THEN 'purged' WHEN CAST(block AS VARCHAR) = held_block THEN 'purged' WHEN held_block IS NOT NULL AND unit % 10 = CAST(held_block AS BIGINT) THEN 'purged' ELSE 'train' END AS role FROM r, f)"
+# a temporal or spatial fold only tests and trains; a joint fold trains on neither its year, nor its block, nor units near it
+_ROLES = """roles AS (SELECT *, 'temporal' AS kind, CASE WHEN yr = held_year THEN 'test' ELSE 'train' END AS role FROM r, f WHERE family = 'temporal'
+    UNION ALL SELECT *, 'spatial', CASE WHEN CAST(block AS VARCHAR) = held_block THEN 'test' ELSE 'train' END FROM r, f WHERE family = 'spatial'
+    UNION ALL SELECT *, 'joint', CASE WHEN yr <> held_year AND CAST(block AS VARCHAR) <> held_block AND unit % 10 <> CAST(held_block AS BIGINT) THEN 'train' WHEN yr = held_year AND CAST(block AS VARCHAR) = held_block THEN 'test' ELSE 'purged' END FROM r, f WHERE family = 'joint')"""
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +125,12 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold_roles(rows, S.fold_table(rows, "yr", "block"), "yr", "block", near_units(rows), "unit")
 
 
-@query("f11_fold_roles", f"WITH {_ROWS}, {_FOLDS}, {_ROLES} SELECT * FROM roles")
+@query("f11_fold_roles", f"WITH {_ROWS}, {_FOLDS}, {_ROLES} SELECT family, held_year, held_block, unit, yr, block, role, count(*) AS days FROM roles GROUP BY ALL")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles(spark, sf_dir).drop("fold")
+    """The role of each unit and year in each fold, with the days it stands for."""
+    rows = split_rows(spark, sf_dir)
+    years = rows.groupBy("unit", "yr", "block").agg(F.count(F.lit(1)).alias("days"))
+    return S.fold_roles(years, S.fold_table(rows, "yr", "block"), "yr", "block", near_units(rows), "unit").drop("fold")
 
 
 @query("f12_inner_roles", f"WITH {_ROWS}, {_FOLDS}, {_ROLES}, t AS (SELECT * FROM roles WHERE role = 'train' AND family = 'temporal') SELECT t.held_year, y.yr AS inner_year, count(*) AS n, count(*) FILTER (t.yr = y.yr) AS validation FROM t JOIN (SELECT DISTINCT held_year, yr FROM t) y USING (held_year) GROUP BY 1, 2")
@@ -142,9 +148,10 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f14_coverage_audit", f"WITH {_ROWS}, {_FOLDS}, {_ROLES}, r2 AS (SELECT *, 1 AS k FROM roles WHERE NOT (family = 'joint' AND held_year = 1996) UNION ALL SELECT *, 2 FROM roles WHERE family = 'spatial' AND held_block = '3') SELECT family, unit, day, yr, count(*) FILTER (role = 'test') AS times FROM r2 GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (role = 'test') <> 1")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted: a year's joint folds left out, so that its rows are never tested, and a spatial fold listed twice."""
-    whole = roles(spark, sf_dir)
-    bad = whole.where("not (family = 'joint' and held_year = 1996)").unionByName(whole.where("family = 'spatial' and held_block = '3'"))
-    return S.coverage_violations(bad, ["unit", "day", "yr"])
+    rows = split_rows(spark, sf_dir)
+    folds = S.fold_table(rows, "yr", "block")
+    bad = folds.where("not (family = 'joint' and held_year = 1996)").unionByName(folds.where("family = 'spatial' and held_block = '3'"))
+    return S.coverage_violations(rows, bad, ["unit", "day", "yr"], "yr", "block")
 
 
 @query("f15_task_plan", f"WITH {_ROWS}, {_FOLDS} SELECT family, held_year, held_block, candidate, CAST(inner_year AS BIGINT) AS inner_year FROM f, (SELECT r_name AS candidate FROM region), (SELECT DISTINCT yr AS inner_year FROM r) WHERE family <> 'joint'")

@@ -174,8 +174,13 @@ def test_morans_i_on_a_line(spark):
 def test_fold_roles_test_each_row_once(spark):
     data = spark.createDataFrame([(u, D(y, 1, 1), y, u) for u in (1, 2, 3) for y in (2020, 2021)], "unit int, day date, yr int, block int")
     near = spark.createDataFrame([("1", 2)], "held_block string, unit int")
-    roles = P.fold_roles(data, P.fold_table(data, "yr", "block"), "yr", "block", near, "unit")
-    assert not P.coverage_violations(roles, ["unit", "day"]).collect()
+    folds = P.fold_table(data, "yr", "block")
+    roles = P.fold_roles(data, folds, "yr", "block", near, "unit")
+    assert not P.coverage_violations(data, folds, ["unit", "day"], "yr", "block").collect()
+    assert roles.where("family <> 'joint' and role = 'purged'").count() == 0 and roles.where("family = 'spatial' and held_block = '1' and unit = 2 and role = 'train'").count() == 2
+    assert P.fold_roles(data, folds.where("family = 'spatial'"), "yr", "block").count() == 18
+    with pytest.raises(Exception, match="needs a buffer"):
+        P.fold_roles(data, folds, "yr", "block").collect()
     joint = {(r["unit"], r["yr"]): r["role"] for r in roles.where("family = 'joint' and held_year = 2020 and held_block = '1'").collect()}
     assert joint == {(1, 2020): "test", (1, 2021): "purged", (2, 2020): "purged", (2, 2021): "purged", (3, 2020): "purged", (3, 2021): "train"}
 
