@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,23 @@ def cohort(items: DataFrame, acquisition: list[str], baseline: list[str], tile:
     return best_row(sets, acquisition, [F.desc("coverage"), *[F.desc(b) for b in baseline], F.desc("generation"), F.asc("items")])
 
 
+def union_cohort(items: DataFrame, acquisition: list[str], baseline: list[str], tile: str, generation: str, item: str, footprints: Callable[[DataFrame], DataFrame], area: DataFrame, size: float) -> DataFrame:
+    """As cohort(), by the share of the area that a baseline's footprints cover together, overlaps counted once.
+
+    footprints: turns items into pieces (acquisition, baseline, x1, y1, x2, y2, w); area: the pieces of one polygon, met in strips of a grid of `size`.
+    """
+    from tessera.operators import polygons
+
+    by = [*acquisition, *baseline]
+    latest = best_row(items, [*by, tile], [F.desc(generation), F.asc(item)])
+    sets = latest.groupBy(*by).agg(F.max(generation).alias("generation"), F.array_sort(F.collect_list(item)).alias("items"))
+    clip = sets.select(*by).crossJoin(F.broadcast(area))  # one polygon's edges
+    whole = polygons.union_areas(area.withColumn("__one", F.lit(1)), ["__one"], size).select(F.col("area").alias("__whole"))
+    covered = polygons.union_areas(footprints(latest), by, size, clip)
+    sets = sets.join(covered, by, "left").crossJoin(F.broadcast(whole)).withColumn("coverage", F.round(F.least(F.lit(1.0), F.coalesce("area", F.lit(0.0)) / F.col("__whole")), 9)).drop("area", "__whole")
+    return best_row(sets, acquisition, [F.desc("coverage"), *[F.desc(b) for b in baseline], F.desc("generation"), F.asc("items")])
+
+
 def gap_sessions(df: DataFrame, by: list[str], ts: str, item: str, gap_seconds: int) -> DataFrame:
     """Adds `session`: a new one where the time since the row before is over the gap."""
     w = Window.partitionBy(*by).orderBy(ts, item)
@@ -165,10 +184,14 @@ def merge_intervals(df: DataFrame, by: list[str], low: str, high: str) -> DataFr
 
 
 def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows at rint(i (N - 1) / (n - 1)) of the ordered list; all of them if there are no more. Meant for lists of dates."""
-    ranked = df.withColumns({"__r": F.row_number().over(Window.orderBy(order)) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy())})
-    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("__n") - 1) / max(1, n - 1)).cast("int"))
-    return ranked.where((F.col("__n") <= n) | F.array_contains(places, F.col("__r"))).drop("__r", "__n")
+    """n rows at rint(i (N - 1) / (n - 1)) of the ordered list; all of them if there are no more. Ranks come from ranges of the order, so the list may be of any length."""
+    from tessera.operators.ranking import total_rank
+
+    total = df.count()
+    if total <= n:
+        return df
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (total - 1) / max(1, n - 1)).cast("long"))
+    return total_rank(df, [order], "__r").where(F.array_contains(places, F.col("__r") - 1)).drop("__r")
 
 
 def select_candidate(scores: DataFrame, by: list[str], candidate: str, complexity: str, score: str, absolute: float, relative: float) -> DataFrame:
