@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import BASE, components, mix, stage
+from tessera.llm.shared import BASE, components, discard, mix, scratch_path, stage, stage_at
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -171,7 +171,8 @@ def candidate_clusters(sets: DataFrame, percent: int, few: int) -> DataFrame:
     if len(hot):
         # a hot n-gram is common, and its sets are dealt out by themselves
         hits = hits.union(entries.where("hot").select("gram", "d", "n", F.lit(True).alias("common"), "hot").dropDuplicates(["gram", "d"]))
-    hits = stage(hits, "hits")
+    hits_path = scratch_path(sets.sparkSession, "hits")
+    hits = stage_at(hits, hits_path)
     stats = hits.groupBy("d").agg(F.count(F.lit(1)).alias("held"), F.count_if("common").alias("common_n"), F.first("n").alias("n"))
     stats = stage(stats.withColumn("k", _least_k(F.col("n"), percent)).where("held >= k").select("d", "common_n", "k", "n"), "stats")
     kept = hits.join(stats.select("d", (F.col("common_n") >= F.col("k")).alias("burdened")), "d")
@@ -188,7 +189,9 @@ def candidate_clusters(sets: DataFrame, percent: int, few: int) -> DataFrame:
     edges = pairs.union(heavy.where("not hot").join(least.where("not hot").select("gram", "a"), "gram").select("a", F.col("d").alias("b")))
     if len(hot):  # there are few hot n-grams, by their bound
         edges = edges.union(heavy.where("hot").join(F.broadcast(least.where("hot").select("gram", "a")), "gram").select("a", F.col("d").alias("b")))
-    return components(edges).select(F.col("v").alias("d"), F.col("component").alias("cluster"))
+    found = components(edges).select(F.col("v").alias("d"), F.col("component").alias("cluster"))
+    discard(sets.sparkSession, hits_path)
+    return found
 
 
 def overlap_links(left: list[np.ndarray], right: list[np.ndarray], percent: int, same: bool, columns: int = 4096) -> np.ndarray:
@@ -334,22 +337,27 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, few:
     Equal sets, rows with the same text among them, are one vertex. A null key takes part in links; a component of null keys alone has a null id.
     A text of any length is one set, whole. Columns other than key and text are not read, whatever their names. An empty table gives no rows.
     """
-    sets = stage(text_sets(docs, width, percent, text, [key]), "sets")
-    first = sets.where("n > 0").groupBy("d").agg(F.min(key).alias("first"), F.first("n").alias("n"))
+    spark = docs.sparkSession
+    sets_path, members_path = scratch_path(spark, "sets"), scratch_path(spark, "members")
+    sets = stage_at(text_sets(docs, width, percent, text, [key]), sets_path)
+    sizes = stage(sets.select(key, "n", "d"), "sizes")
+    first = sizes.where("n > 0").groupBy("d").agg(F.min(key).alias("first"), F.first("n").alias("n"))
     clusters = stage(candidate_clusters(sets, percent, few).join(first, "d"), "clusters")
+    discard(spark, sets_path)
     # one row's text of each clustered set is shingled again, which moves less than keeping all sets whole; the sets grow with the documents, so
     # they are joined in the way that any size takes
     chosen = clusters.select(F.col("d").alias("__d"), F.col("first").alias("__first")).hint("merge")
     again = docs.select(key, text).join(chosen, F.col(key).eqNullSafe(F.col("__first"))).select("__d", text)
-    members = stage(text_sets(again, width, percent, text, ["__d"], whole=True).where("d = __d").select("d", "grams").dropDuplicates(["d"]), "members")
+    members = stage_at(text_sets(again, width, percent, text, ["__d"], whole=True).where("d = __d").select("d", "grams").dropDuplicates(["d"]), members_path)
     found = cluster_components(clusters.select("d", "cluster", "n"), members, percent, block)
+    discard(spark, members_path)
     vertex = first.drop("n").join(found, "d", "left").withColumn("root", F.coalesce("component", "d")).select("d", "root", "first")
     least = vertex.groupBy("root").agg(F.min("first").alias("component_id"))
     named = vertex.join(least, "root").select("d", "component_id")
-    full = sets.where("n > 0").select(key, "n", "d").join(named, "d").select(key, F.col("n").alias("n_shingles"), "component_id")
-    return full.union(sets.where("n = 0").select(key, "n", F.col(key).alias("component_id")))
+    full = sizes.where("n > 0").join(named, "d").select(key, F.col("n").alias("n_shingles"), "component_id")
+    return full.union(sizes.where("n = 0").select(key, "n", F.col(key).alias("component_id")))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """Size of every document's set, and the least doc_id of its component."""
+    """Size of every document's set, and the least doc_id of its component; edge cases as jaccard_components() states them."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,8 +8,8 @@ goes even where it is unique.
 A host of any size is dealt out in groups of a few hundred pages, each with an array of its own. What one array saw on a single page is pooled
 over the host by hashes of all windows and blocks, so how a host is dealt does not show in the result.
 
-The article's own prose is judged more carefully, since copied articles and quoted passages are content: a prose block goes if its runs stand on
-more than half of the host's pages (a notice in every article), unless such runs make up half of the page's prose.
+The prose of a marked article is never taken out, however often it repeats: copied articles and quoted passages are content. On pages that
+mark no article, repetition decides about paragraphs too, unless half of a page's paragraphs repeat, which is a copied article.
 """
 
 from __future__ import annotations
@@ -67,8 +67,6 @@ def hints_of(attributes: str) -> set[str]:
 
 #: What a block is: noise by its markup; the article's prose; loose text inside the article; text outside it; paragraphs and the like outside it.
 NOISE_BLOCK, PROSE_BLOCK, LOOSE_BLOCK, OUTER_BLOCK, OUTER_PROSE_BLOCK = 0, 1, 2, 3, 4
-#: Prose that stands on more than half of a host's pages is boilerplate on a host of this many pages or more.
-LEAST_PAGES = 3
 
 
 def read_blocks(page: str | None) -> tuple[list[tuple[str, int]], bool]:
@@ -228,15 +226,10 @@ def repeated_positions(streams: list[np.ndarray], length: int) -> list[np.ndarra
     return [covered_tokens(hit, len(s), length) for s, hit in zip(streams, repeated_windows(streams, length), strict=True)]
 
 
-def read_streams(page: str | None) -> tuple[list[tuple[str, int]], bool, list[int], list[int]]:
-    """Blocks, whether the article is marked, and the places of the blocks outside the article's prose and of those that are prose.
-
-    A paragraph outside any marked article is in both.
-    """
+def read_streams(page: str | None) -> tuple[list[tuple[str, int]], bool, list[int]]:
+    """Blocks, whether the article is marked, and the places of the blocks outside its prose, about which repetition decides."""
     blocks, marked = read_blocks(page)
-    outer = [i for i, (_, kind) in enumerate(blocks) if kind != PROSE_BLOCK]
-    prose = [i for i, (_, kind) in enumerate(blocks) if kind == PROSE_BLOCK or kind == OUTER_PROSE_BLOCK and not marked]
-    return blocks, marked, outer, prose
+    return blocks, marked, [i for i, (_, kind) in enumerate(blocks) if kind != PROSE_BLOCK]
 
 
 def stream_keys(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,41 +248,15 @@ def known_blocks(texts: list[str], keys: np.ndarray, length: int, share: float)
     return sizes, np.isin(prints, keys) | (part >= share)
 
 
-def _streams(length: int, most: int = 4_000_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(host, page), the tokens and hashes of its blocks outside the article's prose, and keys of prose that may be common on the host.
-
-        What stands on over half of a host's pages stands on over half of those in one of the parts that they are cut into. So a part
-        hands on only what is that common in it, and nothing is missed however the pages are cut.
-        """
-        rows, held, size = [], {}, 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal rows, held, size
-            for first, keys, n in held.values():
-                key, count = np.unique(np.concatenate(keys), return_counts=True)
-                rows[first][4] = key[2 * count > n]
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], names=["host", "page", "prints", "tokens", "common"])
-            rows, held, size = [], {}, 0
-            return out
-
-        for batch in batches:
-            for host, page, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                blocks, _, outer, prose = read_streams(text)
-                words = [w for i in outer for w in blocks[i][0].split()]
-                _, windows, prints = stream_keys([blocks[i][0] for i in prose], length)
-                keys = np.unique(np.concatenate([windows, prints]))
-                entry = held.setdefault(host, [len(rows), [], 0])
-                entry[1].append(keys)
-                entry[2] += 1
-                rows.append([host, page, [hash_word(blocks[i][0]) for i in outer], token_ids(words).tobytes(), None])
-                size += len(keys) + len(words)
-                if size >= most:
-                    yield flush()
-        if rows:
-            yield flush()
-
-    return run
+def page_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, html) to (host, page), the hashes and the tokens of its blocks outside the article's prose."""
+    for batch in batches:
+        prints, tokens = [], []
+        for text in batch.column(2).to_pylist():
+            blocks, _, outer = read_streams(text)
+            prints.append([hash_word(blocks[i][0]) for i in outer])
+            tokens.append(token_ids([w for i in outer for w in blocks[i][0].split()]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["host", "page", "prints", "tokens"])
 
 
 def repeated_keys(streams: DataFrame, length: int, group: int) -> DataFrame:
@@ -298,7 +265,7 @@ def repeated_keys(streams: DataFrame, length: int, group: int) -> DataFrame:
     Known are those that the page's own array saw twice, pooled those that only other arrays saw.
     """
     counts = streams.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    dealt = streams.drop("common").join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("page"), F.ceil(F.col("host_pages") / group)))
+    dealt = streams.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("page"), F.ceil(F.col("host_pages") / group)))
 
     def array(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("page")
@@ -325,42 +292,17 @@ def repeated_keys(streams: DataFrame, length: int, group: int) -> DataFrame:
     return runs.select("page", "known").join(pooled, "page", "left")
 
 
-def common_prose(pages: DataFrame, streams: DataFrame, length: int) -> DataFrame:
-    """(host, common): hashes of the prose windows and blocks that stand on more than half of the host's rows, on hosts of LEAST_PAGES or more."""
-    hosts = streams.groupBy("host").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LEAST_PAGES)
-    maybe = stage(streams.select("host", F.explode("common").alias("key")).distinct().join(hosts.select("host"), "host").groupBy("host").agg(F.collect_list("key").alias("maybe")), "maybe")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, keys = [], []
-            for host, text, maybe in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                blocks, _, _, prose = read_streams(text)
-                _, windows, prints = stream_keys([blocks[i][0] for i in prose], length)
-                own = np.unique(np.concatenate([windows, prints]))
-                hosts.append(host)
-                keys.append(own[np.isin(own, maybe.values.to_numpy())])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "keys"])
-
-    seen = pages.select("host", "html").join(maybe, "host").mapInArrow(run, "host string, keys array<long>")
-    counts = seen.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    return stage(counts.join(hosts, "host").where(2 * F.col("n") > F.col("rows")).groupBy("host").agg(F.collect_list("key").alias("common")), "common")
-
-
-def removed_blocks(blocks: list[tuple[str, int]], marked: bool, outer: list[int], prose: list[int], repeated: np.ndarray, common: np.ndarray, length: int, share: float) -> set[int]:
+def removed_blocks(blocks: list[tuple[str, int]], outer: list[int], repeated: np.ndarray, length: int, share: float) -> set[int]:
     """The places of a page's blocks that repetition takes out."""
-    removed = set()
-    if len(repeated):
-        _, known = known_blocks([blocks[i][0] for i in outer], repeated, length, share)
-        removed = {i for i, k in zip(outer, known, strict=True) if k}
+    if not len(repeated):
+        return set()
+    _, known = known_blocks([blocks[i][0] for i in outer], repeated, length, share)
+    removed = {i for i, k in zip(outer, known, strict=True) if k}
     # paragraphs of a page without a marked article: where half of them repeats, an article was copied and stays
-    own = [i for i in prose if blocks[i][1] == OUTER_PROSE_BLOCK]
+    own = [i for i in outer if blocks[i][1] == OUTER_PROSE_BLOCK]
     sizes = {i: len(blocks[i][0].split()) for i in own}
     if 2 * sum(n for i, n in sizes.items() if i in removed) >= sum(sizes.values()):
         removed -= set(own)
-    if len(common):
-        sizes, known = known_blocks([blocks[i][0] for i in prose], common, length, share)
-        if 2 * sizes[known].sum() < sizes.sum():
-            removed |= {i for i, k in zip(prose, known, strict=True) if k}
     return removed
 
 
@@ -385,28 +327,27 @@ def extract(pages: DataFrame, length: int = 8, share: float = 0.8, group: int =
     """(page_id, url, text, n_chars, n_repeated, n_noise) of every page.
 
     A null or empty page has an empty text. A null url is a host of its own (the empty one). Rows repeated word for word count as one page in
-    the search for repeats (by their number in the share of a host's pages that has a piece of prose) and each get their text; other columns
-    are not read; an empty table gives no rows. `length` is a power of two; `group` deals out the work and does not change the result.
+    the search for repeats and each get their text; a page of any length is read whole; other columns are not read; an empty table gives
+    no rows. `length` is a power of two; `group` deals out the work and does not change the result.
     """
     host, _ = split_url(F.col("url"))
     pages = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
-    streams = stage(pages.select("host", "page", "html").mapInArrow(_streams(length), "host string, page long, prints array<long>, tokens binary, common array<long>"), "streams")
-    repeated, common = repeated_keys(streams, length, group), common_prose(pages, streams, length)
+    streams = stage(pages.select("host", "page", "html").mapInArrow(page_streams, "host string, page long, prints array<long>, tokens binary"), "streams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         values = lambda x: x.values.to_numpy() if x.is_valid else none
         for batch in batches:
             rows = []
-            for page, known, pooled, common in zip(batch.column(2).to_pylist(), *(batch.column(i) for i in (3, 4, 5)), strict=True):
-                blocks, marked, outer, prose = read_streams(page)
-                gone = removed_blocks(blocks, marked, outer, prose, np.concatenate([values(known), values(pooled)]), values(common), length, share)
-                rows.append(text_of(blocks, marked, gone))
+            for page, known, pooled in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                blocks, marked, outer = read_streams(page)
+                rows.append(text_of(blocks, marked, removed_blocks(blocks, outer, np.concatenate([values(known), values(pooled)]), length, share)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[0]) for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)]], names=["page_id", "url", "text", "n_chars", "n_repeated", "n_noise"])
 
-    joined = pages.join(repeated, "page", "left").join(common, "host", "left").select("page_id", "url", "html", "known", "pooled", "common")
+    joined = pages.join(repeated_keys(streams, length, group), "page", "left").select("page_id", "url", "html", "known", "pooled")
     return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_repeated long, n_noise long")
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page; edge cases as extract() states them."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -34,7 +34,14 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def stage_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
-    df.write.option("compression", codec).parquet(path)
+    """As stage(), at a path. The table stands for its query from now on, so the query's shuffle files go as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.set(key, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -117,10 +117,12 @@ def test_url_query_against_plain_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), url
 
 
-def test_page_query_against_a_plain_expression(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_page_query_against_a_plain_expression(spark, sf):
     """The test pages mark their articles with clean tags, so an expression finds the text."""
-    pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
-    got = catalog.queries()["op2_html_extraction"](spark, SF).toPandas().set_index("page_id")
+    folder = SF.replace("sf0.001", sf)
+    pages = spark.read.parquet(f"{folder}/pages.parquet").toPandas()
+    got = catalog.queries()["op2_html_extraction"](spark, folder).toPandas().set_index("page_id")
     assert len(got) == len(pages) and (got.n_chars == got.text.str.len()).all()
     for page, source in zip(pages.page_id, pages.html):
         article = re.search(r"<article>(.*?)(?:</article>|$)", source or "", re.S)
@@ -131,4 +133,4 @@ def test_page_query_against_a_plain_expression(spark):
 
 def test_every_dealt_operator_is_registered():
     names = list(catalog.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

@@ -117,18 +117,33 @@ def test_a_run_on_two_pages_is_found_however_the_host_is_dealt(spark):
     assert got[0] == got[1] == got[2] == {(i, words(f"own{i}", 30), int(i in (3, 29))) for i in range(40)}
 
 
-def test_a_notice_in_every_article_goes_and_copied_articles_stay(spark):
+def test_prose_of_marked_articles_stays_however_often_it_repeats(spark):
     notice = lambda i: f"<p>{words('notice', 14)} d{i}</p>"
     rows = [(i, f"http://a.org/{i}", f"<article><h1>t{i}</h1><p>{words(f'a{i}', 40)}</p>{notice(i)}</article>") for i in range(8)]
     rows += [(10 + i, f"http://b.org/{i}", f"<article><p>{words('copied', 40)}</p></article>") for i in range(5)]
     rows += [(20 + i, f"http://c.org/{i}", f"<div>{words('menu', 10)}</div><p>{words('whole', 40)}</p>") for i in range(5)]
     rows += [(30 + i, f"http://d.org/{i}", f"<article><p>{words(f'd{i}', 40)}</p>" + (f"<p>{words('quoted', 12)}</p>" if i < 2 else "") + "</article>") for i in range(6)]
     out = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group=3).collect()}
-    assert all(out[i] == f"t{i} {words(f'a{i}', 40)}" for i in range(8))
+    assert all(out[i] == f"t{i} {words(f'a{i}', 40)} {words('notice', 14)} d{i}" for i in range(8))
     assert all(out[10 + i] == words("copied", 40) and out[20 + i] == words("whole", 40) for i in range(5))
     assert all(out[30 + i] == words(f"d{i}", 40) + (" " + words("quoted", 12) if i < 2 else "") for i in range(6))
 
 
+def test_the_array_decides_on_pages_without_a_marked_article(spark):
+    page = lambda i: f"<html><body><div>{words('chrome', 12)}</div><p>{words('terms', 20)}</p><p>{words(f'u{i}', 60)}</p><span>{words('imprint', 9)}</span></body></html>"
+    rows = [(i, f"http://u.org/{i}", page(i)) for i in range(6)] + [(9, "http://v.org/", page(9))]
+    for group in (1, 100):
+        out = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group=group).collect()}
+        assert all(out[i] == words(f"u{i}", 60) != pages.main_text(rows[i][2], set())[0] for i in range(6))
+        assert out[9] == pages.main_text(page(9), set())[0]
+
+
+def test_very_long_pages_are_read_whole(spark):
+    long = f"<article>{''.join(f'<p>{words(f"l{i}", 20)}</p>' for i in range(8000))}</article><footer>gone</footer>"
+    row = pages.extract(spark.createDataFrame([(1, "http://l.org/", long), (1, "http://l.org/", long)], "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in row} == {" ".join(words(f"l{i}", 20) for i in range(8000))} and len(row) == 2
+
+
 def test_host_repeats_go_and_unique_runs_stay(spark):
     body = lambda i: f"<div>home about contact imprint press jobs login help</div><div>story number {i} {' '.join(hashlib.md5(f'{i}-{k}'.encode()).hexdigest()[:6] for k in range(12))}</div>"
     rows = [(i, f"http://h.org/{i}", body(i)) for i in range(6)] + [(6, "http://h.org/0", body(0)), (7, None, None), (8, "x", ""), (0, "http://h.org/0", body(0))]
