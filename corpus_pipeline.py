@@ -6,7 +6,7 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, jaccard, language, pii
@@ -32,16 +32,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near copies, and one of its repeated rows.
+    """Keep the document with the least doc_id of each group of near copies, and one of its repeated rows (the least in all other columns).
 
     Null, empty and blank texts are near nothing and stay; a text of any length is compared whole; an empty table gives none. Columns
-    other than doc_id and text are carried along, whatever their names.
+    other than doc_id and text are carried along, whatever their names. Texts are moved once, to their doc_id: the same partitioning serves
+    the choice of documents and that of repeated rows.
     """
     ready(spark)
-    kept = set_aside(docs, "kept")
+    kept, place = set_aside(docs, "kept"), set_aside(docs, "place")
     found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    firsts = stage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct(), "kept")
+    of_id = docs.where("doc_id is not null").join(firsts.where(F.col(kept).isNotNull()), F.col("doc_id") == F.col(kept), "left_semi")
+    # a group without any id keeps all its texts; elsewhere documents without an id are no first ones
+    nameless = docs.where("doc_id is null")
+    if firsts.where(F.col(kept).isNull()).isEmpty():
+        nameless = nameless.limit(0)
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+
+    def one_each(rows: DataFrame, by: str) -> DataFrame:
+        order = Window.partitionBy(by).orderBy("text", *rest)
+        fresh = (F.row_number().over(order) == 1) | ~F.col("text").eqNullSafe(F.lag("text").over(order))
+        return rows.withColumn(place, fresh).where(place).select(*docs.columns)
+
+    return one_each(of_id, "doc_id").unionByName(one_each(nameless, "text"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
