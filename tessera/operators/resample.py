@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,30 +24,83 @@ def error_cells(pairs: DataFrame, by: Sequence[str], day: str, block: str, truth
     return pairs.groupBy(*by, day, block).agg(F.count(F.lit(1)).alias("n"), e(baseline).alias("baseline_sum"), e(target).alias("target_sum"))
 
 
-def _multiplicity(cells: DataFrame, spark, by: Sequence[str], column: str, kind: str, seed: int, replicates: int) -> DataFrame:
-    """(by, rep, column, m): how often each cluster is drawn in each replicate."""
+#: Replicates in one array.
+CHUNK = 1000
+
+
+def _multiplicity(cells: DataFrame, by: Sequence[str], column: str, kind: str, seed: int, replicates: int) -> DataFrame:
+    """(by, column, chunk, m_kind): how often each cluster is drawn in each replicate of a chunk, as packed 32-bit numbers; a row a cluster and chunk."""
     w = Window.partitionBy(*by)
-    dim = cells.select(*by, column).distinct().withColumns({"__i": F.row_number().over(w.orderBy(column)) - 1, "__n": F.count(F.lit(1)).over(w)})
-    reps = spark.range(replicates).select(F.col("id").alias("rep"))
-    # each cluster's index also names one draw of every replicate, so the draws are as many as the clusters
-    drawn = dim.select(*by, "__n", F.col("__i").alias("__k")).crossJoin(reps).withColumn("__i", hash_draw(seed, kind, F.col("__n"), *[F.col(c) for c in by], F.col("rep"), F.col("__k")))
-    counts = drawn.groupBy(*by, "rep", "__i").agg(F.count(F.lit(1)).alias(f"m_{kind}"))
-    return counts.join(dim.select(*by, column, "__i"), [*by, "__i"]).drop("__i")
+    dim = cells.select(*by, column).distinct().withColumns({"__i": (F.row_number().over(w.orderBy(column)) - 1).cast("long"), "__n": F.count(F.lit(1)).over(w)})
+    texts = [f"__by{i}" for i in range(len(by))]
+    one = dim.select(*by, "__n").distinct().withColumns({t: F.col(c).cast("string") for t, c in zip(texts, by, strict=True)})
+    one = one.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((replicates - 1) // CHUNK).cast("long"))))
+    schema = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in by), "__i long, chunk long", f"m_{kind} binary"])
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in range(part.num_rows):
+                row = part.slice(r, 1)
+                n, chunk = row.column("__n")[0].as_py(), row.column("chunk")[0].as_py()
+                head = ":".join([str(seed), kind, *(v for t in texts if (v := row.column(t)[0].as_py()) is not None)])
+                reps = range(chunk * CHUNK, min(replicates, (chunk + 1) * CHUNK))
+                # each cluster's index also names one draw of every replicate, so the draws are as many as the clusters
+                m = np.zeros((n, len(reps)), np.int32)
+                for at, rep in enumerate(reps):
+                    text = f"{head}:{rep}:".encode()
+                    m[:, at] = np.bincount([int.from_bytes(hashlib.md5(text + b"%d" % k).digest()[:4], "big") % n for k in range(n)], minlength=n)
+                same = [pa.array([row.column(c)[0].as_py()] * n, row.schema.field(c).type) for c in by]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n)), pa.array(np.full(n, chunk)), pa.array([v.tobytes() for v in m], pa.binary())], names=[*by, "__i", "chunk", f"m_{kind}"])
+
+    return one.mapInArrow(draw, schema).join(dim.select(*by, column, "__i"), [*by, "__i"]).drop("__i")
+
+
+def _vector_sums(df: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Sums of packed doubles, of the same length within a group; an even part of each group's rows at a time."""
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), *(f"{n} binary" for n in names)])
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        sums = {n: sum(np.frombuffer(v) for v in part[n]).tobytes() for n in names}
+        return pd.DataFrame({**{c: [part[c].iloc[0]] for c in by}, **{n: [v] for n, v in sums.items()}})
+
+    parts = df.withColumn("__part", F.pmod(F.xxhash64(*names[:1]), F.lit(32))).groupBy(*by, "__part").applyInPandas(run, schema)
+    return parts.groupBy(*by).applyInPandas(run, schema)
 
 
 def bootstrap_replicates(cells: DataFrame, day: str, block: str, seed: int, replicates: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, rep, baseline, target): dates and blocks drawn with replacement independently; the mean over drawn dates of the date's error over drawn blocks.
 
-    A replicate in which no drawn date has a drawn block is absent.
+    A replicate in which no drawn date has a drawn block is absent. Replicates are arrays: a cell meets a row for each thousand of them, a date's
+    blocks are summed as vectors and so are the dates; only the result has a row a replicate.
     """
-    spark, by = cells.sparkSession, list(by)
-    d = _multiplicity(cells, spark, by, day, "d", seed, replicates)
-    b = _multiplicity(cells, spark, by, block, "b", seed, replicates)
-    j = cells.join(d, [*by, day]).join(b, [*by, "rep", block])
-    s = lambda c: F.sum(F.col(c) * F.col("m_b"))
-    dates = j.groupBy(*by, "rep", day).agg(F.first("m_d").alias("m"), (s("baseline_sum") / s("n")).alias("b"), (s("target_sum") / s("n")).alias("t"))
-    mean = lambda c: F.sum(F.col(c) * F.col("m")) / F.sum("m")
-    return dates.groupBy(*by, "rep").agg(mean("b").alias("baseline"), mean("t").alias("target"))
+    by = list(by)
+    d = _multiplicity(cells, by, day, "d", seed, replicates)
+    b = _multiplicity(cells, by, block, "b", seed, replicates)
+    sums = ("n", "baseline_sum", "target_sum")
+    plain = cells.select(*by, day, block, *[F.col(c).cast("double").alias(c) for c in sums])
+    j = plain.join(b, [*by, block]).join(d, [*by, "chunk", day])
+    keys = [*by, "chunk"]
+    kinds = ", ".join(f"`{c}` {j.schema[c].dataType.simpleString()}" for c in keys)
+
+    def one_date(part: pd.DataFrame) -> pd.DataFrame:
+        m_b = np.array([np.frombuffer(v, np.int32) for v in part["m_b"]], np.float64)
+        n, base, target = (part[c].to_numpy() @ m_b for c in sums)
+        m = np.where(n > 0, np.frombuffer(part["m_d"].iloc[0], np.int32), 0).astype(float)
+        per = np.where(n > 0, n, 1.0)
+        return pd.DataFrame({**{c: [part[c].iloc[0]] for c in keys}, "m": [m.tobytes()], "b": [(m * base / per).tobytes()], "t": [(m * target / per).tobytes()]})
+
+    dates = j.groupBy(*keys, day).applyInPandas(one_date, f"{kinds}, m binary, b binary, t binary")
+    totals = _vector_sums(dates, keys, ["m", "b", "t"])
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.to_dict("records"):
+                m, b_sum, t_sum = (np.frombuffer(r[c]) for c in ("m", "b", "t"))
+                used = np.flatnonzero(m > 0)
+                yield pd.DataFrame({**{c: [r[c]] * len(used) for c in by}, "rep": used + r["chunk"] * CHUNK, "baseline": b_sum[used] / m[used], "target": t_sum[used] / m[used]})
+
+    schema = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in by), "rep long, baseline double, target double"])
+    return totals.mapInPandas(rows, schema)
 
 
 def crossed_bootstrap(cells: DataFrame, day: str, block: str, seed: int, replicates: int, level: float = 0.95, by: Sequence[str] = (), least_relative: float = 0.1, keep: int | None = None) -> DataFrame:
