@@ -148,13 +148,58 @@ def line_chunks(edges: DataFrame, poly: str, seq: str, most: int, jump: float) -
     return kept.withColumn("chunk", F.concat_ws("-", "run", F.floor(place / most)))
 
 
+def seam_audit(edges: DataFrame, poly: str, jump: float) -> DataFrame:
+    """(poly, edges, seams, eastward, westward, closes): edges over the jump, which way they go, and whether as many come back."""
+    d = F.col("x2") - F.col("x1")
+    counts = edges.groupBy(poly).agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.abs(d) > jump).alias("seams"), F.count_if(d > jump).alias("eastward"), F.count_if(-d > jump).alias("westward"))
+    return counts.withColumn("closes", F.col("eastward") == F.col("westward"))
+
+
+def parity_gate(distances: DataFrame, planar: str, geodesic: str, absolute: float, relative: float) -> DataFrame:
+    """Adds passed: the two distances differ by no more than absolute + relative x geodesic; a null fails."""
+    return distances.withColumn("passed", F.coalesce(F.abs(F.col(planar) - F.col(geodesic)) <= absolute + relative * F.col(geodesic), F.lit(False)))
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, poly: str, size: float) -> DataFrame:
-    """(point, poly): containment by the parity of crossings of a ray to the right; edges meet points by their range of y."""
-    p = points.withColumn("ky", F.floor(F.col("py") / size))
+    """(point, poly): containment by the parity of crossings of a ray to the right. Points meet the polygons whose boxes hold them, on cells, and of those the
+    edges in their range of y."""
+    p = points.withColumns({"kx": F.floor(F.col("px") / size), "ky": F.floor(F.col("py") / size)})
+    ends = lambda f, g, c: f(g(f"{c}1", f"{c}2"))
+    boxes = edges.groupBy(poly).agg(ends(F.min, F.least, "x").alias("bx0"), ends(F.min, F.least, "y").alias("by0"), ends(F.max, F.greatest, "x").alias("bx1"), ends(F.max, F.greatest, "y").alias("by1"))
+    held = (F.col("px") >= F.col("bx0")) & (F.col("px") <= F.col("bx1")) & (F.col("py") >= F.col("by0")) & (F.col("py") <= F.col("by1"))
+    near = p.join(cells_of_box(boxes, "bx0", "by0", "bx1", "by1", size), ["kx", "ky"]).where(held).select(point, "px", "py", "ky", poly)
     e = edges.withColumn("ky", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
     px, py, x1, y1, x2, y2 = map(F.col, ("px", "py", "x1", "y1", "x2", "y2"))
     crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.when(y2 != y1, y2 - y1) + x1)
-    return p.join(e, "ky").where(crosses).groupBy(point, poly).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(point, poly)
+    return near.join(e, [poly, "ky"]).where(crosses).groupBy(point, poly).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(point, poly)
+
+
+def containment_audit(polygons: DataFrame, edges: DataFrame, poly: str, expected: str, size: float) -> DataFrame:
+    """(poly, expected, parent, containers, status): each polygon's parent by geometry against the one that it names.
+
+    polygons: (poly, px, py, area, expected), one representative point inside each; edges: (poly, x1, y1, x2, y2). The parent is the smallest of
+    the larger polygons that hold the point, ties the least id. status: ok, differs, missing (named, not found) or unnamed (found, not named).
+    """
+    child = polygons.select(F.col(poly).alias("__c"), "px", "py")
+    held = points_in_polygons(child, edges, "__c", poly, size).where(F.col("__c") != F.col(poly))
+    sized = held.join(polygons.select(F.col(poly).alias("__c"), F.col("area").alias("__own")), "__c").join(polygons.select(poly, "area"), poly).where(F.col("area") > F.col("__own"))
+    found = sized.groupBy("__c").agg(F.min(F.struct("area", poly))[poly].alias("parent"), F.count(F.lit(1)).alias("containers"))
+    j = polygons.select(poly, expected).join(found.withColumnRenamed("__c", poly), poly, "left")
+    status = F.when(F.col(expected).eqNullSafe(F.col("parent")), "ok").when(F.col("parent").isNull(), "missing").when(F.col(expected).isNull(), "unnamed").otherwise("differs")
+    return j.select(poly, expected, "parent", F.coalesce("containers", F.lit(0)).alias("containers"), status.alias("status"))
+
+
+def seed_mapping(seeds: DataFrame, edges: DataFrame, seed: str, poly: str, expected: str, size: float) -> DataFrame:
+    """(poly, seeds, expected, status): how many seeds each polygon holds against how many name it, and seeds in none under a null poly.
+
+    seeds: (seed, px, py, expected). status: ok, or what is off: missing (named and empty), surplus (held and not named) or differs.
+    """
+    inside = points_in_polygons(seeds, edges, seed, poly, size)
+    named = seeds.groupBy(F.col(expected).alias(poly)).agg(F.count(F.lit(1)).alias("named"))
+    placed = seeds.join(inside, seed, "left").groupBy(poly).agg(F.countDistinct(seed).alias("held"))
+    j = placed.join(named.withColumnRenamed(poly, "__p"), F.col(poly).eqNullSafe(F.col("__p")), "full_outer").select(F.coalesce(poly, "__p").alias(poly), F.coalesce("held", F.lit(0)).alias("seeds"), F.coalesce("named", F.lit(0)).alias("expected"))
+    status = F.when(F.col("seeds") == F.col("expected"), "ok").when(F.col("seeds") == 0, "missing").when(F.col("expected") == 0, "surplus").otherwise("differs")
+    return j.withColumn("status", status)
 
 
 def horn_slope(cells: DataFrame, by: Sequence[str], row: str, col: str, value: str, width: float, height: float) -> DataFrame:

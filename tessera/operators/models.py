@@ -13,29 +13,60 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str], bins: int = 2048) -> dict[str, float | None]:
+    """Each column's exact median over its finite values (NaN and infinities count as missing), None where there is none.
+
+    Rounds of counting in ranges, one job a round for all columns: of the bins between the values that have the middle between them, the one that
+    holds it is cut again, until its least and largest values are one. The driver holds a count a bin and column, whatever the rows.
+    """
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    values = values.where(F.col("v").isNotNull() & (F.abs("v") < float("inf")))
+    out: dict[str, float | None] = dict.fromkeys(columns)
+    first = {r["c"]: (r["n"], r["low"], r["high"]) for r in values.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    # (column, rank) of what is sought: its range and the number of values below that
+    open_ = {(c, rank): (low, high, 0) for c, (n, low, high) in first.items() for rank in {(n - 1) // 2, n // 2}}
+    found = {}
+    while open_:
+        for key in [k for k, (low, high, _) in open_.items() if low == high]:
+            found[key] = open_.pop(key)[0]
+        ranges = sorted({(c, low, high) for (c, _), (low, high, _) in open_.items()})
+        if not ranges:
+            break
+        table = df.sparkSession.createDataFrame(ranges, "c int, low double, high double")
+        # halves first, as the width of a range may be too large for a number
+        place = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("v") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2) * bins))
+        within = values.join(F.broadcast(table), "c").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+        counts: dict[tuple, list] = {}
+        for r in within.groupBy("c", "low", "high", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect():
+            counts.setdefault((r["c"], r["low"], r["high"]), []).append((r["bin"], r["n"], r["a"], r["b"]))
+        for (c, rank), (low, high, below) in list(open_.items()):
+            for _, n, a, b in sorted(counts[c, low, high]):
+                if below + n > rank:
+                    # a range of two neighbouring numbers can't be cut: its ends are told apart by what lies at the lower one
+                    if (a, b) == (low, high):
+                        least = values.where((F.col("c") == c) & (F.col("v") == a)).count()
+                        a = b = a if below + least > rank else b
+                    open_[c, rank] = (a, b, below)
+                    break
+                below += n
+    for c, (n, _, _) in first.items():
+        out[columns[c]] = found[c, (n - 1) // 2] / 2 + found[c, n // 2] / 2
+    return out
+
+
 def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row, `median`: exact, without gathering the column. A quantile summary gives two values that have the middle between them; only the
-    distinct values from one to the other, with their counts, come together in a task."""
-    known = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    bounds = known.approxQuantile("v", [0.49, 0.51], 0.002)
-    low, high = bounds or (0.0, 0.0)
-    sizes = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < low).alias("below"))
-    band = known.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    run = band.withColumn("upto", F.sum("m").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda rank: F.min(F.when(F.col("below") + F.col("upto") > rank, F.col("v")))
-    return run.crossJoin(F.broadcast(sizes)).agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    """One row, `median`: as exact_medians()."""
+    return df.sparkSession.createDataFrame([(exact_medians(df, [column])[column],)], "median double")
 
 
 def impute_medians(train: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill nulls with the medians of the training rows; a column without any training value stays null (see all_null)."""
-    for c in columns:
-        median = exact_median(train, c).withColumnRenamed("median", "__median")
-        rows = rows.crossJoin(F.broadcast(median)).withColumn(c, F.coalesce(c, "__median")).drop("__median")
-    return rows
+    medians = exact_medians(train, columns)
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c]).cast("double")) for c in columns})
 
 
 def incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:

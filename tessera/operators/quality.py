@@ -81,6 +81,10 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def _hash_sums() -> list[Column]:
+    return [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(4)]
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (n, sha256) that does not depend on row order; two tables with equal rows, repeated ones counted, agree.
 
@@ -88,10 +92,10 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     that differ by chance or mistake; it is no proof against someone who looks for rows with a wanted sum.
     """
     h = df.select(row_hash(columns).alias("h"))
-    sums = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(4)]
-    return h.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums), 256).alias("sha256"))
+    return h.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *_hash_sums()), 256).alias("sha256"))
 
 
 def group_fingerprints(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(by, n, sha256) of each group's set of distinct rows; groups are meant to be a zone's cells or a fold's keys."""
-    return df.select(*by, row_hash(columns).alias("h")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_set("h")), ","), 256).alias("sha256"))
+    """(by, n, sha256) of each group's set of distinct rows, added up as in fingerprint(); n counts all rows. No group comes together."""
+    rows = df.select(*by, row_hash(columns).alias("h")).groupBy(*by, "h").agg(F.count(F.lit(1)).alias("__n"))
+    return rows.groupBy(*by).agg(F.sum("__n").alias("n"), F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *_hash_sums()), 256).alias("sha256"))

@@ -192,3 +192,70 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest line, searched in rings: each round only for the points that are still without one."""
     points = boxes(spark, sf_dir).select("id", F.col("x0").alias("px"), F.col("y0").alias("py"))
     return rounded(P.expanding_nearest(points, lines(spark, sf_dir), "id", "sid", [2.0, 5.0, 15.0, 50.0]), "distance")
+
+
+# areas and small boxes at suppliers' places: every tenth names the wrong area, every eleventh none
+_TREE = """b AS (SELECT 'a' || aid AS poly, a0 AS x0, b0 AS y0, a1 AS x1, b1 AS y1, CAST(NULL AS VARCHAR) AS expected FROM a
+    UNION ALL SELECT 's' || s_suppkey, s_suppkey % 48 + 0.25, s_acctbal / 100 + 90, s_suppkey % 48 + 0.75, s_acctbal / 100 + 90.5, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 10 = 0 THEN 'a0' ELSE 'a' || CAST(CAST(floor((s_suppkey % 48) / 10) AS BIGINT) + 5 * CAST(floor(s_acctbal / 2000) AS BIGINT) AS VARCHAR) END FROM supplier)"""
+
+
+def tree_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outer = areas(spark, sf_dir).select(F.concat(F.lit("a"), "aid").alias("poly"), F.col("a0").alias("x0"), F.col("b0").alias("y0"), F.col("a1").alias("x1"), F.col("b1").alias("y1"), F.lit(None).cast("string").alias("expected"))
+    s, k, y = table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 48, F.col("s_acctbal") / 100 + 90
+    own = F.concat(F.lit("a"), (F.floor(k / 10) + 5 * F.floor(F.col("s_acctbal") / 2000)).cast("string"))
+    named = F.when(F.col("s_suppkey") % 11 == 0, None).when(F.col("s_suppkey") % 10 == 0, "a0").otherwise(own)
+    inner = s.select(F.concat(F.lit("s"), "s_suppkey").alias("poly"), (k + 0.25).alias("x0"), y.alias("y0"), (k + 0.75).alias("x1"), (y + 0.5).alias("y1"), named.alias("expected"))
+    return outer.unionByName(inner)
+
+
+@query(
+    "g18_parent_audit",
+    f"""WITH {_A}, {_TREE}, h AS (SELECT c.poly, p.poly AS parent, row_number() OVER (PARTITION BY c.poly ORDER BY (p.x1 - p.x0) * (p.y1 - p.y0), p.poly) AS k, count(*) OVER (PARTITION BY c.poly) AS containers FROM b c JOIN b p ON (c.x0 + c.x1) / 2 > p.x0 AND (c.x0 + c.x1) / 2 < p.x1 AND (c.y0 + c.y1) / 2 > p.y0 AND (c.y0 + c.y1) / 2 < p.y1 AND (p.x1 - p.x0) * (p.y1 - p.y0) > (c.x1 - c.x0) * (c.y1 - c.y0) + 1e-9)
+    SELECT b.poly, expected, parent, coalesce(containers, 0) AS containers, CASE WHEN expected IS NOT DISTINCT FROM parent THEN 'ok' WHEN parent IS NULL THEN 'missing' WHEN expected IS NULL THEN 'unnamed' ELSE 'differs' END AS status FROM b LEFT JOIN h ON h.poly = b.poly AND k = 1""",
+)
+def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each polygon's parent by its representative point against the parent that it names."""
+    b = tree_boxes(spark, sf_dir)
+    at = b.select("poly", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 6).alias("area"), "expected")
+    return G.containment_audit(at, P.box_edges(b, ["poly"], ("x0", "y0", "x1", "y1")), "poly", "expected", 5.0)
+
+
+@query(
+    "g24_seed_mapping",
+    f"""WITH {_A}, {_TREE}, s AS (SELECT poly AS seed, (x0 + x1) / 2 AS px, (y0 + y1) / 2 AS py, expected FROM b WHERE poly LIKE 's%'), m AS (SELECT seed, 'a' || aid AS poly FROM s JOIN a ON px > a0 AND px < a1 AND py > b0 AND py < b1),
+    h AS (SELECT m.poly, count(DISTINCT s.seed) AS n FROM s LEFT JOIN m USING (seed) GROUP BY 1), e AS (SELECT expected AS poly, count(*) AS n FROM s GROUP BY 1), j AS (SELECT coalesce(h.poly, e.poly) AS poly, coalesce(h.n, 0) AS seeds, coalesce(e.n, 0) AS expected FROM h FULL JOIN e ON h.poly IS NOT DISTINCT FROM e.poly)
+    SELECT *, CASE WHEN seeds = expected THEN 'ok' WHEN seeds = 0 THEN 'missing' WHEN expected = 0 THEN 'surplus' ELSE 'differs' END AS status FROM j""",
+)
+def g24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds in each area against the seeds that name it."""
+    seeds = tree_boxes(spark, sf_dir).where("poly like 's%'").select(F.col("poly").alias("seed"), ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), "expected")
+    zones = P.box_edges(areas(spark, sf_dir).withColumn("poly", F.concat(F.lit("a"), "aid")), ["poly"], _ABOX)
+    return G.seed_mapping(seeds, zones, "seed", "poly", "expected", 5.0)
+
+
+@query(
+    "g22_zone_raster",
+    f"""WITH {_U}, k AS (SELECT id, x0, y0, unnest(range(CAST(floor(x0) AS BIGINT) - 1, CAST(floor(x0) AS BIGINT) + 5)) AS kx FROM u), c AS (SELECT *, unnest(range(CAST(floor(y0) AS BIGINT) - 2, CAST(floor(y0) AS BIGINT) + 6)) AS ky FROM k),
+    e AS (SELECT id, kx, ky, count(*) AS n FROM c, (VALUES {_values(SHAPE)}) s(ring, hole, dx1, dy1, dx2, dy2) WHERE (y0 + dy1 > ky + 0.5) <> (y0 + dy2 > ky + 0.5) AND kx + 0.5 < dx1 + (dx2 - dx1) * (ky + 0.5 - y0 - dy1) / (CASE WHEN dy2 <> dy1 THEN dy2 - dy1 END) + x0 GROUP BY 1, 2, 3)
+    SELECT kx, ky, min(id) AS zone, count(*) AS zones FROM e WHERE n % 2 = 1 GROUP BY 1, 2""",
+)
+def g22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid cells whose centres lie in a polygon: the zone of the least id, and how many claim the cell."""
+    edges = placed(boxes(spark, sf_dir), ["id"], "x0", "y0", SHAPE)
+    return P.zone_raster(edges, "id", 1.0)
+
+
+@query("g16_seam_audit", "WITH v AS (SELECT l_suppkey AS poly, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq, l_quantity AS x FROM lineitem), e AS (SELECT poly, seq, x AS x1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2 FROM v WINDOW w AS (PARTITION BY poly ORDER BY seq)) SELECT poly, count(*) AS edges, count(*) FILTER (abs(x2 - x1) > 30) AS seams, count(*) FILTER (x2 - x1 > 30) AS eastward, count(*) FILTER (x1 - x2 > 30) AS westward, count(*) FILTER (x2 - x1 > 30) = count(*) FILTER (x1 - x2 > 30) AS closes FROM e GROUP BY 1")
+def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the edges that jump over the seam; a ring that leaves over it has to come back."""
+    from tessera.plans.queries_geometry import polygon_edges
+
+    return G.seam_audit(polygon_edges(spark, sf_dir), "poly", 30.0)
+
+
+@query("g14_parity_gate", f"WITH {_S}, d AS (SELECT sid, sqrt(power((x1 - 20.0) * cos(radians(40.0)) * 111195.08, 2) + power((y1 / 4 - 40.0) * 111195.08, 2)) AS planar, 2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(y1 / 4 - 40.0) / 2), 2) + cos(radians(40.0)) * cos(radians(y1 / 4)) * power(sin(radians(x1 - 20.0) / 2), 2)))) AS geodesic FROM s) SELECT sid, round(planar, 2) AS planar, round(geodesic, 2) AS geodesic, abs(planar - geodesic) <= 25000 + 0.01 * geodesic AS passed FROM d")
+def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected distances against geodesic ones: each has to agree within a fixed and a relative tolerance."""
+    x, y, metre = F.col("x1"), F.col("y1") / 4, 111195.08
+    d = lines(spark, sf_dir).select("sid", F.hypot((x - 20.0) * F.cos(F.radians(F.lit(40.0))) * metre, (y - 40.0) * metre).alias("planar"), G.haversine(F.lit(20.0), F.lit(40.0), x, y).alias("geodesic"))
+    return rounded(G.parity_gate(d, "planar", "geodesic", 25000.0, 0.01), "planar", "geodesic", digits=2)

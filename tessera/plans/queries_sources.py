@@ -143,3 +143,35 @@ def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
     W.write_report(table(spark, sf_dir, "supplier").select(ids.alias("id"), F.col("s_name").alias("name"), F.concat_ws("|", ids, "s_name").alias("members")), path, ["id"])
     back = R.scan_csv(spark, path, ["id", "name", "members"], ["members"])
     return back.select("id", "name", F.size("members").cast("long").alias("parts"))
+
+
+@query("a14_published_record", "SELECT count(*) AS rows, 's_suppkey,s_name' AS columns, true AS has_bytes FROM supplier")
+def a14_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a published table, with the bytes of its files."""
+    path = _scratch(spark, "recorded")
+    W.publish_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), path)
+    return W.table_record(spark.read.parquet(path), path).select("rows", "columns", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query(
+    "a15_gated_publication",
+    """WITH p AS (SELECT DISTINCT year(l_shipdate) AS yr FROM lineitem), d AS (SELECT count(*) AS n FROM p), r AS (SELECT count(*) AS n FROM lineitem), f AS (SELECT count(*) AS n FROM lineitem WHERE year(l_shipdate) = (SELECT min(yr) FROM p))
+    SELECT 1 AS step, 'partial' AS state, (SELECT n FROM d) AS due, CAST(1 AS BIGINT) AS there, CAST(0 AS BIGINT) AS surplus, CAST(0 AS BIGINT) AS published, (SELECT n FROM f) AS partial
+    UNION ALL SELECT 2, 'published', (SELECT n FROM d), (SELECT n FROM d), 0, (SELECT n FROM r), 0 UNION ALL SELECT 3, 'surplus', 1, 1, (SELECT n FROM d) - 1, (SELECT n FROM r), 0""",
+)
+def a15_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by year under a manifest: one year gives a partial table, all years the published one, years beyond the manifest nothing."""
+    path = _scratch(spark, "gated")
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("long").alias("yr"), "l_orderkey", "l_linenumber")
+    years = rows.select("yr").distinct()
+    first = years.agg(F.min("yr").alias("yr"))
+
+    def held(place: str) -> int:
+        p = spark._jvm.org.apache.hadoop.fs.Path(place)
+        return spark.read.parquet(place).count() if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else 0
+
+    out = None
+    for step, (part, manifest) in enumerate(((rows.join(first, "yr"), years), (rows, years), (rows, first)), 1):
+        state = W.publish_when_whole(part, manifest, ["yr"], path).withColumns({"step": F.lit(step), "published": F.lit(held(path)).cast("long"), "partial": F.lit(held(f"{path}.partial")).cast("long")})
+        out = state if out is None else out.unionByName(state)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.quality import fingerprint
@@ -19,14 +19,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     writer.parquet(path)
 
 
-def publish_table(df: DataFrame, path: str) -> None:
-    """Publish as Parquet by rename: the table is written whole beside its place and then takes it, so df may read the table it replaces.
-
-    A job that fails leaves the old table as it was. Between two renames there is none for a moment; the old one is deleted last.
-    """
-    spark, token = df.sparkSession, uuid.uuid4().hex
-    fresh, old = f"{path.rstrip('/')}.next-{token}", f"{path.rstrip('/')}.old-{token}"
-    df.write.parquet(fresh)
+def _take_place(spark: SparkSession, fresh: str, path: str) -> None:
+    """Give what was written at fresh the name path; what was there goes last, and comes back where the renaming fails."""
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
     paths = spark._jvm.org.apache.hadoop.fs.Path
     files = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
     replaced = files.exists(paths(path))
@@ -40,14 +35,53 @@ def publish_table(df: DataFrame, path: str) -> None:
         files.delete(paths(old), True)
 
 
+def publish_table(df: DataFrame, path: str) -> None:
+    """Publish as Parquet by rename: the table is written whole beside its place and then takes it, so df may read the table it replaces.
+
+    A job that fails leaves the old table as it was. Between two renames there is none for a moment; the old one is deleted last.
+    """
+    fresh = f"{path.rstrip('/')}.next-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    _take_place(df.sparkSession, fresh, path)
+
+
 def write_report(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Publish a table as CSV in a stated order: files by ranges of the order, sorted inside, so their names sort as the rows do."""
-    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+    """Publish a table as CSV in a stated order, by rename as publish_table: files by ranges of the order, sorted inside, so their names sort as the rows do."""
+    fresh = f"{path.rstrip('/')}.next-{uuid.uuid4().hex}"
+    df.orderBy(*order).write.option("header", True).csv(fresh)
+    _take_place(df.sparkSession, fresh, path)
+
 
+def published_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files of a table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength())
 
-def table_record(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, schema and fingerprint of a table."""
-    return fingerprint(df, df.columns).select(F.col("n").alias("rows"), F.lit(",".join(df.columns)).alias("columns"), F.lit(df.schema.simpleString()).alias("schema"), "sha256")
+
+def table_record(df: DataFrame, path: str | None = None) -> DataFrame:
+    """One row: rows, columns, schema and fingerprint of a table, and the bytes of its files where a path is given."""
+    size = F.lit(published_bytes(df.sparkSession, path) if path else None).cast("long")
+    return fingerprint(df, df.columns).select(F.col("n").alias("rows"), F.lit(",".join(df.columns)).alias("columns"), F.lit(df.schema.simpleString()).alias("schema"), "sha256", size.alias("bytes"))
+
+
+def publish_when_whole(parts: DataFrame, manifest: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """Publish a table only once every part of its manifest is there; one row (state, due, there, surplus).
+
+    parts: the rows, with keys that name their part. As long as a part is missing the rows go to `<path>.partial` and what is published stays; once
+    all are there they take the published place and the partial table goes. Parts that the manifest does not name stop the publication (state
+    `surplus`) and write nothing. A manifest without parts publishes nothing.
+    """
+    spark, partial = parts.sparkSession, f"{path.rstrip('/')}.partial"
+    have, due = parts.select(*keys).distinct().withColumn("__have", F.lit(True)), manifest.select(*keys).distinct().withColumn("__due", F.lit(True))
+    n = have.join(due, [*keys], "full_outer").agg(F.count("__due").alias("due"), F.count_if(F.col("__due") & F.col("__have")).alias("there"), F.count_if(F.col("__due").isNull()).alias("surplus")).first()
+    state = "surplus" if n["surplus"] else "published" if n["due"] and n["there"] == n["due"] else "partial"
+    if state == "published":
+        publish_table(parts, path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(partial)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    elif state == "partial":
+        publish_table(parts, partial)
+    return spark.createDataFrame([(state, n["due"], n["there"], n["surplus"])], "state string, due long, there long, surplus long")
 
 
 def pending_parts(manifest: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
