@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import panel_queries, queries_compile, queries_contracts, queries_folds, queries_geometry, queries_joins, queries_metrics, queries_models, queries_polygons, queries_resample, queries_scalars, queries_sources, queries_windows  # noqa: F401
+    from tessera.plans import panel_queries, queries_compile, queries_contracts, queries_evidence, queries_folds, queries_geometry, queries_joins, queries_metrics, queries_models, queries_polygons, queries_resample, queries_scalars, queries_sources, queries_windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
