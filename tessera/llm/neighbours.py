@@ -2,8 +2,9 @@
 
 The tree is fitted on a bounded sample; every row then descends to its leaf. A query walks the tree best bin first: of all branches not yet
 taken, the one whose centre is nearest comes next, by a priority queue. How many leaves a query visits is calibrated: for a sample of queries
-the true neighbours are found over all rows, and the visits are widened until the leaves visited hold the wanted share of them. Queries and
-rows of a leaf meet in blocks of bounded size, and every distance that is returned is exact.
+the true neighbours are found over all rows, and the visits are widened until the leaves visited hold the wanted share of them. Leaves that stand
+next to each other in the tree share a bin of bounded size, in which their rows meet the queries that visit any of them; every distance that is
+returned is exact.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tupl
     return centres, squared(x, centres).argmin(1)
 
 
-def fit_tree(x: np.ndarray, branching: int = 8, leaf_rows: int = 24, rounds: int = 6, seed: int = 0) -> Tree:
+def fit_tree(x: np.ndarray, branching: int = 16, leaf_rows: int = 24, rounds: int = 6, seed: int = 0) -> Tree:
     """k-means in k-means, until a node holds leaf_rows of the sample or no two points apart."""
     rng = np.random.default_rng(seed)
     centres, children, leaf, leaves = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [np.zeros(0, int)], [-1], 0
@@ -110,40 +111,59 @@ def best_bins(tree: Tree, far: np.ndarray, visits: int, sizes: np.ndarray | None
     return out
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _one_nearest(query: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, distance) of the k nearest rows, by all distances."""
+    with np.errstate(over="ignore"):
+        exact = np.sqrt(((x - query) ** 2).sum(1))
+    order = np.lexsort((ids, exact))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]  # each id's nearest row
+    return ids[order], exact[order]
+
+
+def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of queries, id, distance) of each query's k nearest rows with another id, ties to the smaller id; of rows with one id the nearest counts.
 
-    A matrix product narrows the rows down by more than its error; distances are then taken from differences.
+    A matrix product narrows the rows down by more than its error; distances are then taken from differences. open_: which rows each query may take.
     """
     out = ([], [], [])
     for lo in range(0, len(queries), 256):
         part = queries[lo : lo + 256]
-        norms = (part * part).sum(1)[:, None] + (x * x).sum(1)[None, :]
+        allowed = ids[None, :] != query_ids[lo : lo + 256, None]
+        if open_ is not None:
+            allowed &= open_[lo : lo + 256]
         about = squared(part, x)
-        slack = norms * (4.0 * (x.shape[1] + 8) * np.finfo(float).eps)
-        for i in range(len(part)):
-            other = np.flatnonzero(ids != query_ids[lo + i])
-            if not len(other):
-                continue
-            d, e = about[i, other], slack[i, other]
-            size = k
-            while True:
-                if size < len(other) and np.isfinite(d).all() and np.isfinite(e).all():
-                    keep = other[d - e <= np.partition(d + e, size - 1)[size - 1]]
-                else:
-                    keep = other
-                with np.errstate(over="ignore"):
-                    exact = np.sqrt(((x[keep] - part[i]) ** 2).sum(1))
-                order = np.lexsort((ids[keep], exact))
-                first = np.unique(ids[keep][order], return_index=True)[1]  # each id's nearest row
-                order = order[np.sort(first)][:k]
-                if len(order) == k or len(keep) == len(other):
-                    break
-                size *= 4  # many rows of one id: look further
-            out[0].append(np.full(len(order), lo + i))
-            out[1].append(ids[keep][order])
-            out[2].append(exact[order])
-    return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (int, np.int64, float), strict=True))
+        slack = ((part * part).sum(1)[:, None] + (x * x).sum(1)[None, :]) * (4.0 * (x.shape[1] + 8) * np.finfo(float).eps)
+        plain = np.isfinite(about).all(1) & np.isfinite(slack).all(1)
+        bound = np.full(len(part), np.inf)
+        if len(ids) > k:
+            bound = np.partition(np.where(allowed, about + slack, np.inf), k - 1, axis=1)[:, k - 1]
+        at, row = np.nonzero(allowed & (about - slack <= bound[:, None]))
+        exact = np.sqrt(((x[row] - part[at]) ** 2).sum(1))
+        order = np.lexsort((exact, ids[row], at))
+        at, row, exact = at[order], row[order], exact[order]
+        fresh = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(ids[row]) != 0)])[: len(at)]  # each id's nearest row
+        at, row, exact = at[fresh], row[fresh], exact[fresh]
+        order = np.lexsort((ids[row], exact, at))
+        at, row, exact = at[order], row[order], exact[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        # where rows repeat an id, or numbers are too large for the product, all distances are taken
+        full = plain & (np.bincount(at, minlength=len(part)) >= np.minimum(k, allowed.sum(1)))
+        keep = (place < k) & full[at]
+        out[0].append(at[keep] + lo)
+        out[1].append(ids[row[keep]])
+        out[2].append(exact[keep])
+        for i in np.flatnonzero(~full):
+            found, d = _one_nearest(part[i], x[allowed[i]], ids[allowed[i]], k)
+            out[0].append(np.full(len(found), lo + i))
+            out[1].append(found)
+            out[2].append(d)
+    return tuple(np.concatenate(c).astype(t) if c else np.zeros(0, t) for c, t in zip(out, (int, np.int64, float), strict=True))
+
+
+def share_bins(sizes: np.ndarray, block: int) -> np.ndarray:
+    """The bin of each leaf: leaves in their order, about `block` rows together."""
+    before = np.cumsum(sizes) - sizes
+    return np.unique(before // block, return_inverse=True)[1]
 
 
 def _vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +227,7 @@ def calibrated_visits(tree: Tree, queries: np.ndarray, truth: pd.DataFrame, reca
     return int(needed[min(len(needed), int(np.ceil(recall * len(needed)))) - 1])
 
 
-def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, recall: float = 0.96, sample_rows: int = 32_768, sample_bytes: int = 32 << 20, leaf_rows: int = 48, calibrate: int = 100, block: int = 4096) -> DataFrame:
+def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, recall: float = 0.95, sample_rows: int = 32_768, sample_bytes: int = 32 << 20, leaf_rows: int = 48, calibrate: int = 100, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for every row whose id `every` divides, nearest first, ties to the smaller id.
 
     All rows are indexed. The tree is fitted on at most sample_rows rows of at most sample_bytes, those of least hash, with about leaf_rows
@@ -228,35 +248,45 @@ def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", ever
     queries = indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     probe = sampled(queries, calibrate)
     visits = calibrated_visits(tree, matrix(probe["vec"], size), true_neighbours(indexed, probe, size, k), recall)
-    sizes = np.zeros(tree.leaves, np.int64)
-    for r in indexed.groupBy("leaf").agg(F.count_distinct("id").alias("n")).collect():
-        sizes[r["leaf"]] = r["n"]
+    sizes, rows_of = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").agg(F.count_distinct("id").alias("n"), F.count(F.lit(1)).alias("rows")).collect():
+        sizes[r["leaf"]], rows_of[r["leaf"]] = r["n"], r["rows"]
+    bin_of = share_bins(rows_of, block)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and bin, with the leaves that the query visits there."""
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             far = squared(matrix(batch.column(1).to_pylist(), size), sent.value.centres)
-            bins = [best_bins(sent.value, f, visits, sizes, k + 1) for f in far]
-            at = pa.array(np.repeat(np.arange(len(bins)), [len(b) for b in bins]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(bins).astype(np.int64)), batch.column(1).take(at)], names=["id", "leaf", "vec"])
-
-    asked = queries.mapInArrow(walk, "id long, leaf long, vec binary")
-    # a leaf's rows and its queries are dealt out in blocks; every block of rows meets every block of queries
-    deal = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("row_blocks"))
-    deal = deal.join(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("query_blocks")), "leaf")
-    deal = F.broadcast(stage(deal, "deal"))  # one row a leaf
+            at, bins, leaves = [], [], []
+            for i, f in enumerate(far):
+                visited = np.sort(best_bins(sent.value, f, visits, sizes, k + 1))
+                own, first = np.unique(bin_of[visited], return_index=True)
+                at += [i] * len(own)
+                bins += own.tolist()
+                leaves += [v.tobytes() for v in np.split(visited, first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(bins, pa.int64()), pa.array(leaves, pa.binary()), batch.column(1).take(pa.array(at, pa.int64()))], names=["id", "bin", "leaves", "vec"])
+
+    spark = rows.sparkSession
+    bins = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bin_of)], "leaf long, bin long")  # one row a leaf
+    asked = stage(queries.repartition("id").mapInArrow(walk, "id long, bin long, leaves binary, vec binary"), "asked")
+    # a bin's rows and its queries are dealt out in blocks; every block of rows meets every block of queries
+    per_bin = np.bincount(bin_of, weights=rows_of).astype(int)
+    counts = {r["bin"]: r["n"] for r in asked.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    deal = spark.createDataFrame([(b, max(1, -(-int(n) // (2 * block))), max(1, -(-counts.get(b, 0) // 1024))) for b, n in enumerate(per_bin)], "bin long, row_blocks long, query_blocks long")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = asked.join(deal, "leaf").select("leaf", all_of("row_blocks").alias("r"), part("query_blocks").alias("q"), "id", "vec")
-    right = indexed.join(deal, "leaf").select("leaf", part("row_blocks").alias("r"), all_of("query_blocks").alias("q"), "id", "vec")
+    left = asked.join(F.broadcast(deal), "bin").select("bin", all_of("row_blocks").alias("r"), part("query_blocks").alias("q"), "id", "leaves", "vec")
+    right = indexed.join(F.broadcast(bins.join(deal, "bin")), "leaf").select("bin", part("row_blocks").alias("r"), all_of("query_blocks").alias("q"), "id", "leaf", "vec")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = a["id"].to_numpy()
-        at, found, d = nearest(matrix(a["vec"], size), ids, matrix(b["vec"], size), b["id"].to_numpy(), k)
+        ids, leaf = a["id"].to_numpy(), b["leaf"].to_numpy()
+        open_ = np.array([np.isin(leaf, np.frombuffer(v, np.int64)) for v in a["leaves"]])
+        at, found, d = nearest(matrix(a["vec"], size), ids, matrix(b["vec"], size), b["id"].to_numpy(), k, open_)
         return pd.DataFrame({"query_id": ids[at], "vec_id": found, "score": d})
 
-    cell = ["leaf", "r", "q"]
+    cell = ["bin", "r", "q"]
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(meet, "query_id long, vec_id long, score double")
     one = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
