@@ -94,3 +94,19 @@ def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = fitted.transform(test).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("y"))), 4).alias("mae")).select(F.lit(kind).alias("kind"), "n", "mae")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("f19_boosted_trees")
+def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees under absolute loss with dates weighing alike, fitted on early years and scored by date on the last ones. Each round is about ten short jobs, so the
+    registered query takes 5 of the 300 rounds that the operator defaults to."""
+    from tessera.functions.scalars import finite
+    from tessera.operators import boosting as B
+    from tessera.operators import metrics as E
+
+    data = rows(spark, sf_dir)
+    train = E.date_balanced_weights(data.where("yr < 2000"), "day")
+    model = B.fit_boosted(train, FEATURES, "y", "weight", rounds=5, learning_rate=0.3)
+    scored = B.predict_boosted(data.where("yr >= 2000"), model)
+    by_date = scored.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_if(~finite(F.col("pred"))).alias("bad"), F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))
+    return by_date.agg(F.count(F.lit(1)).alias("dates"), F.sum("n").alias("n"), F.sum("bad").alias("not_finite"), F.round(F.avg("mae"), 4).alias("mae"))
