@@ -122,3 +122,18 @@ def f25(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = by_date.groupBy("family").agg(F.count(F.lit(1)).alias("dates"), F.round(F.avg("mae"), 5).alias("mae")).withColumn("left_out", F.lit(left_out))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    "f19_elastic_by_year",
+    """WITH r AS (SELECT year(l_shipdate) AS yr, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), s AS (SELECT h.yr AS held, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sd, covar_pop(y, x) / stddev_pop(x) AS c FROM r JOIN (SELECT DISTINCT yr FROM r) h ON r.yr <> h.yr GROUP BY 1),
+    b AS (SELECT held, alpha, mx, my, sign(c) * greatest(abs(c) - alpha * 0.1, 0.0) / (1 + alpha * 0.9) / sd AS b1 FROM s, (SELECT unnest([0.001, 1.0, 500.0]) AS alpha))
+    SELECT held, CAST(alpha AS DOUBLE) AS alpha, round(my - b1 * mx, 6) AS b_0, round(b1, 6) AS b_1 FROM b""",
+)
+def f19_elastic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elastic net of every leave-one-year-out fold, by coordinate descent on its sums: one pass over the rows."""
+    from tessera.operators import models as L
+
+    cells = L.gram_cells(fold_rows(spark, sf_dir), ["yr"], ["x"], "y")
+    folds = cells.join(cells.select(F.col("yr").alias("held")), F.col("yr") != F.col("held"))
+    return rounded(L.ridge_by_fold(folds, ["held"], ["x"], [0.001, 1.0, 500.0], l1_ratio=0.1), "b_0", "b_1")

@@ -108,7 +108,9 @@ def test_elastic_net_from_sums_equals_a_fit_of_the_rows(spark):
         scaled = spark.createDataFrame([(*map(float, v / sd), float(t)) for v, t in zip(x[part], y[part])], "p double, q double, r double, s double, y double")
         ready = VectorAssembler(inputCols=names, outputCol="v").transform(scaled)
         for alpha in (0.05, 0.4):
-            fit = LinearRegression(featuresCol="v", labelCol="y", regParam=alpha, elasticNetParam=0.5, standardization=False, tol=1e-12, maxIter=5000).fit(ready)
+            # Spark divides the square penalty, not the absolute one, by the label's deviation
+            one, two = alpha * 0.5, alpha * 0.5 * y[part].std()
+            fit = LinearRegression(featuresCol="v", labelCol="y", regParam=one + two, elasticNetParam=one / (one + two), standardization=False, tol=1e-12, maxIter=5000).fit(ready)
             assert got[held, alpha][1:] == pytest.approx([c / s for c, s in zip(fit.coefficients, sd)], abs=1e-6)
             assert got[held, alpha][0] == pytest.approx(fit.intercept, abs=1e-5)
     assert all(abs(v[3]) < 1e-12 for (_, a), v in got.items() if a == 0.4)
