@@ -30,45 +30,70 @@ GRAMS = regex.compile(rb" ([^ ]+)(?: ([^ ]+))?(?: ([^ ]+))?(?= )")
 
 #: The table of crc32, which is linear: what one byte changes against a zero byte.
 _TABLE = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], np.uint32)
-#: Spans of more bytes are hashed one by one.
+#: Pieces of spans of more bytes are hashed one by one.
 LONG = 64
-#: Matches handled at once.
+#: Matches hashed at once.
 MOST = 1 << 17
 
 
-def span_crcs(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """crc32 of every b[start:end], many spans at a time."""
-    out = np.zeros(len(start), np.uint32)
+def carried_on(b: np.ndarray, start: np.ndarray, end: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """crc32 carried on from crc over every b[start:end], many at a time."""
     size = end - start
-    far = np.flatnonzero(size > LONG)
-    for i in far:
-        out[i] = zlib.crc32(b[start[i] : end[i]])
-    order = np.argsort(np.where(size > LONG, 0, size), kind="stable")
-    size = np.where(size > LONG, 0, size)[order]
-    at, state = start[order], np.full(len(order), 0xFFFFFFFF, np.uint32)
-    for k in range(int(size[-1]) if len(size) else 0):
-        lo = int(np.searchsorted(size, k, side="right"))  # the spans that have a byte k
+    out = crc.copy()
+    for i in np.flatnonzero(size > LONG):
+        out[i] = zlib.crc32(b[start[i] : end[i]], int(crc[i]))
+    short = np.where(size > LONG, 0, size)
+    order = np.argsort(short, kind="stable")
+    order = order[np.searchsorted(short[order], 0, side="right") :]
+    short, at, state = short[order], start[order], ~crc[order]
+    for k in range(int(short[-1]) if len(short) else 0):
+        lo = int(np.searchsorted(short, k, side="right"))  # the spans that have a byte k
         s = state[lo:]
         state[lo:] = _TABLE[(s ^ b[at[lo:] + k]) & 0xFF] ^ (s >> np.uint32(8))
-    near = size > 0
-    out[order[near]] = ~state[near]
+    out[order] = ~state
     return out
 
 
-def gram_buckets(text: bytes | None, buckets: int) -> tuple[int, np.ndarray]:
-    """Number of words, and the bucket of each run of one to three words, repeats included."""
-    held = b" " + SEPARATORS.sub(b" ", (text or b"").lower()).strip(b" ") + b" "
-    b = np.frombuffer(held, np.uint8)
-    words, parts = 0, []
-    matches = GRAMS.finditer(held, overlapped=True)
-    while chunk := [(m.start(), *m.end(1, 2, 3)) for m in islice(matches, MOST)]:
-        spans = np.array(chunk, np.int64)
-        words += len(spans)
-        ends = spans[:, 1:]
-        has = ends > 0
-        start = np.broadcast_to(spans[:, :1] + 1, ends.shape)
-        parts.append(span_crcs(b, start[has], ends[has]) % np.uint32(buckets))
-    return words, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+def gram_buckets(texts: list[bytes | None], buckets: int) -> list[tuple[int, np.ndarray]]:
+    """For each text the number of words, and the bucket of each run of one to three words, repeats included; spans of many texts are hashed together."""
+    words, found = [0] * len(texts), [[] for _ in texts]
+    held: list[tuple[int, bytes, np.ndarray, np.ndarray]] = []  # text, bytes, starts and ends of its matches
+    count = 0
+
+    def flush() -> None:
+        nonlocal count
+        if held:
+            base = np.cumsum([0, *(len(x) for _, x, _, _ in held)])
+            b = np.frombuffer(b"".join(x for _, x, _, _ in held), np.uint8)
+            start = np.concatenate([s + o for (_, _, s, _), o in zip(held, base)])
+            ends = np.concatenate([np.where(e > 0, e + o, 0) for (_, _, _, e), o in zip(held, base)])
+            crc, at, out = np.zeros(len(start), np.uint32), start, []
+            for k in range(3):  # a span begins with the shorter one
+                end = np.maximum(at, ends[:, k])
+                crc, at = carried_on(b, at, end, crc), end
+                out.append(crc % np.uint32(buckets))
+            lo = 0
+            for i, _, s, e in held:
+                hi = lo + len(s)
+                found[i] += [out[k][lo:hi][e[:, k] > 0] for k in range(3)]
+                lo = hi
+        held.clear()
+        count = 0
+
+    for i, text in enumerate(texts):
+        line, before = b" " + SEPARATORS.sub(b" ", (text or b"").lower()).strip(b" ") + b" ", 0
+        matches = GRAMS.finditer(line, overlapped=True)
+        while chunk := [m.end(1, 2, 3) for m in islice(matches, MOST - count)]:
+            ends = np.array(chunk, np.int64)
+            start = np.concatenate([[before], ends[:-1, 0]]) + 1  # a word begins after the blank that ends the one before it
+            low, before = before, int(ends[-1, 0])
+            held.append((i, line[low : int(ends.max())], start - low, np.where(ends > 0, ends - low, 0)))
+            words[i] += len(chunk)
+            count += len(chunk)
+            if count >= MOST:
+                flush()
+    flush()
+    return [(n, np.concatenate(f) if f else np.zeros(0, np.uint32)) for n, f in zip(words, found, strict=True)]
 
 
 def packed(buckets: np.ndarray) -> bytes:
@@ -89,7 +114,7 @@ def gram_features(docs: DataFrame, buckets: int, keys: list[str], text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            rows = [gram_buckets(t.as_py(), buckets) for t in batch.column(len(keys))]
+            rows = gram_buckets(batch.column(len(keys)).to_pylist(), buckets)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array([n for n, _ in rows], pa.int64()), pa.array([len(f) for _, f in rows], pa.int64()), pa.array([packed(f) for _, f in rows], pa.binary())], names=[*keys, "n_words", "n_features", "held"])
 
     return docs.mapInArrow(run, schema)
