@@ -16,6 +16,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship_code
+
 
 def exact_medians(df: DataFrame, columns: Sequence[str], bins: int = 2048) -> dict[str, float | None]:
     """Each column's exact median over its finite values (NaN and infinities count as missing), None where there is none.
@@ -126,6 +128,7 @@ def ridge_by_fold(cells: DataFrame, fold: Sequence[str], features: Sequence[str]
     l1_ratio it is the elastic net instead, alpha (l1_ratio |b| + (1 - l1_ratio) / 2 b'b) beside half the mean squared error. Where the
     sums are weighted, a column `rows` gives the numbers of rows that ridge holds its penalty against.
     """
+    ship_code(cells.sparkSession)
     k = len(features) + 2
     counted = "rows" in cells.columns
     totals = [*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(1, k)), *(F.sum(n).alias(n) for n in sum_names(k))]
