@@ -54,3 +54,20 @@ def test_boxes_by_cells_equal_all_pairs(spark, twin):
     pairs = f"WITH {Q._U}, d AS (SELECT a.brand AS held_block, b.id, min(sqrt(power(greatest(0.0, b.x0 - a.x1, a.x0 - b.x1), 2) + power(greatest(0.0, b.y0 - a.y1, a.y0 - b.y1), 2))) AS distance FROM u a JOIN u b ON a.brand <> b.brand GROUP BY 1, 2) SELECT held_block, id, 'buffer_only' AS role, round(distance, 6) AS distance FROM d WHERE distance <= 1.5 UNION ALL SELECT brand, id, 'held_out', 0.0 FROM u"
     for name, sql in (("g08_union_coverage", cover), ("g09_buffer_units", pairs)):
         assert canonical(registry.queries()[name](spark, SF).toPandas()) == canonical(twin.sql(sql).df())
+
+
+def test_fold_roles_are_whole(spark, twin):
+    """A role for every unit and quarter in every fold, each row once; what a fold tests is its year, its block or both."""
+    got = registry.queries()["f11_fold_roles"](spark, SF).toPandas()
+    rows = twin.sql("SELECT DISTINCT l_suppkey AS unit, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS day, year(l_shipdate) AS yr, l_suppkey % 6 AS block FROM lineitem").df()
+    years, blocks = set(rows["yr"]), set(rows["block"])
+    folds = [("temporal", y, None) for y in years] + [("spatial", None, b) for b in blocks] + [("joint", y, b) for y, b in set(zip(rows["yr"], rows["block"]))]
+
+    def role(r, family, year, block):
+        near = family == "joint" and r.unit % 10 == block
+        hit = [r.yr == year] * (year is not None) + [r.block == block] * (block is not None)
+        return "test" if all(hit) else "purged" if family == "joint" and (any(hit) or near) else "train"
+
+    want = pd.DataFrame([(f, y, None if b is None else str(b), r.unit, r.day, r.yr, r.block, role(r, f, y, b)) for r in rows.itertuples() for f, y, b in folds], columns=["family", "held_year", "held_block", "unit", "day", "yr", "block", "role"])
+    assert len(got) == len(rows) * len(folds) and sorted(got.columns) == sorted(want.columns)
+    assert canonical(got) == canonical(want)
