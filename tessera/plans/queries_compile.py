@@ -48,7 +48,9 @@ def weather(spark: SparkSession, sf_dir: str, weights: str = "true", days: str =
 
 
 def _shown(features: DataFrame) -> DataFrame:
-    return rounded(features, *[f"{v}_mean_{n}d" for n in (1, 3, 7) for v in VARIABLES])
+    """Means to six digits. A sum's last bit depends on the order of its rows, so thirteen digits come first: a mean halfway between two values goes up in any order."""
+    means = [f"{v}_mean_{n}d" for n in (1, 3, 7) for v in VARIABLES]
+    return rounded(rounded(features, *means, digits=13), *means)
 
 
 @query("d50_weather_features", f"WITH {_weather_sql('true', 'true', 'true')} SELECT unit, day, {_SHOWN} FROM features")

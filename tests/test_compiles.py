@@ -35,6 +35,19 @@ def test_a_feature_is_null_unless_every_cell_has_every_day(spark):
     assert (audit[1]["targets"], audit[1]["complete"], audit[3]["complete"], audit[3]["least_days"]) == (7, 4, 4, 0)
 
 
+def test_a_mean_halfway_between_two_values_goes_up_in_any_order(spark, tmp_path):
+    from tessera.plans import registry
+
+    # weights 1, 1 and 30 of 32, taxes 0, 0.01 and 0.03: 0.0284375, but just below it as a sum of doubles
+    before = [("A", c, dt.datetime(1999, 5, 1), 1.0, 0.0) for c, n in ((1, 1), (2, 1), (3, 30)) for _ in range(n)]
+    held = [("A", 1, dt.datetime(2000, 2, 18), 4.0, 0.0), ("A", 2, dt.datetime(2000, 2, 18), 4.0, 0.01), ("A", 3, dt.datetime(2000, 2, 18), 4.0, 0.03)]
+    for i, rows in enumerate((before + held, held[::-1] + before)):
+        spark.createDataFrame(rows, "l_returnflag string, l_linenumber int, l_shipdate timestamp, l_quantity double, l_tax double").repartition(1 + 4 * i).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        spark.createDataFrame([(dt.datetime(2000, 2, 19),)], "o_orderdate timestamp").write.parquet(f"{tmp_path}/{i}/orders.parquet")
+        out = registry.queries()["d51_frozen_weather_features"](spark, f"{tmp_path}/{i}").collect()
+        assert [(r["unit"], r["q_mean_1d"], r["t_mean_1d"], r["days_1"]) for r in out] == [("A", 4.0, 0.028438, 1)]
+
+
 def test_fragments_name_each_fault(spark):
     rows = [("t", f, m, "c1", k, float(k), k + 0.5) for f in (0, 1) for m in ("a", "b") for k in range(4 * f, 4 * f + 4)]
     expected = spark.createDataFrame([("t", f, k, float(k)) for f in (0, 1) for k in range(4 * f, 4 * f + 4)], "family string, fold int, k int, y double")
