@@ -115,3 +115,14 @@ def test_ranks_come_from_ranges(spark):
     assert [(r["k"], r["rank"]) for r in total_rank(heavy, ["k"], weight="n", parts=2).orderBy("k").collect()] == [(1, 1), (2, 6), (3, 9)]
     assert total_rank(df.limit(0), ["a"]).count() == 0
     assert [r["v"] for r in W.evenly_spaced(spark.range(101).withColumnRenamed("id", "v"), "v", 5).orderBy("v").collect()] == [0, 25, 50, 75, 100]
+
+
+def joins(df):
+    return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+
+
+def test_tile_overlap_counts_send_no_edges_to_the_driver(spark):
+    """The turns of all rings were a table that the planner took for small and broadcast."""
+    from tessera.plans import registry
+
+    assert joins(registry.queries()["d38_tile_overlap_counts"](spark, "/root/testdata/sf0.001")) == []
