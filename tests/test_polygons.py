@@ -126,3 +126,9 @@ def test_tile_overlap_counts_send_no_edges_to_the_driver(spark):
     from tessera.plans import registry
 
     assert joins(registry.queries()["d38_tile_overlap_counts"](spark, "/root/testdata/sf0.001")) == []
+
+
+def test_tile_cover_sends_no_edges_to_the_driver(spark):
+    from tessera.plans import registry
+
+    assert joins(registry.queries()["g05_tile_cover"](spark, "/root/testdata/sf0.001")) == []
