@@ -132,3 +132,11 @@ def test_tile_cover_sends_no_edges_to_the_driver(spark):
     from tessera.plans import registry
 
     assert joins(registry.queries()["g05_tile_cover"](spark, "/root/testdata/sf0.001")) == []
+
+
+def test_polygon_cells_keep_edges_without_a_join_and_leave_out_nameless_ones(spark):
+    from tessera.plans import registry
+
+    assert joins(registry.queries()["g07_polygon_cells"](spark, "/root/testdata/sf0.001")) == []
+    p = P.pieces(edges(spark, [(1, 0, False, NOTCHED), (None, 0, False, NOTCHED)]), ["poly"])
+    assert joins(p) == [] and {r["poly"] for r in p.collect()} == {1}
