@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,21 @@ def test_polygon_cells_keep_edges_without_a_join_and_leave_out_nameless_ones(spa
     assert joins(registry.queries()["g07_polygon_cells"](spark, "/root/testdata/sf0.001")) == []
     p = P.pieces(edges(spark, [(1, 0, False, NOTCHED), (None, 0, False, NOTCHED)]), ["poly"])
     assert joins(p) == [] and {r["poly"] for r in p.collect()} == {1}
+
+
+def sent(df):
+    """The parts of a plan that go through the driver to every task."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda line: re.search(r"[A-Za-z(*]", line).start() if re.search(r"[A-Za-z(*]", line) else 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x, d=depth(line): depth(x) > d, lines[i + 1 :])
+            out.append("\n".join(below))
+    return out
+
+
+def test_units_with_reasons_send_only_zones_through_the_driver(spark):
+    from tessera.plans import registry
+
+    parts = sent(registry.queries()["g03_units_with_reasons"](spark, "/root/testdata/sf0.001"))
+    assert parts and all("nation" in p and "part.parquet" not in p for p in parts)
