@@ -160,3 +160,10 @@ def test_units_with_reasons_send_only_zones_through_the_driver(spark):
 
     parts = sent(registry.queries()["g03_units_with_reasons"](spark, "/root/testdata/sf0.001"))
     assert parts and all("nation" in p and "part.parquet" not in p for p in parts)
+
+
+def test_units_by_share_send_only_zones_through_the_driver(spark):
+    from tessera.plans import registry
+
+    parts = sent(registry.queries()["g02_units_by_overlap_share"](spark, "/root/testdata/sf0.001"))
+    assert parts and all("nation" in p and "part.parquet" not in p for p in parts)
