@@ -167,3 +167,19 @@ def test_units_by_share_send_only_zones_through_the_driver(spark):
 
     parts = sent(registry.queries()["g02_units_by_overlap_share"](spark, "/root/testdata/sf0.001"))
     assert parts and all("nation" in p and "part.parquet" not in p for p in parts)
+
+
+def test_positive_overlaps_send_only_zones_through_the_driver(spark):
+    from tessera.plans import registry
+
+    parts = sent(registry.queries()["g26_positive_overlap"](spark, "/root/testdata/sf0.001"))
+    assert parts and all("nation" in p and "part.parquet" not in p for p in parts)
+
+
+def test_boxes_that_share_several_cells_count_once(spark):
+    box = "x0 double, y0 double, x1 double, y1 double"
+    a = spark.createDataFrame([(1, -2.5, -2.5, 2.5, 2.5)], f"a int, {box}")
+    b = spark.createDataFrame([(1, -1.0, -1.0, 9.0, 9.0), (2, 2.5, 0.0, 3.0, 1.0), (3, -9.0, -9.0, -2.0, -2.0)], f"b int, {box}").withColumnsRenamed({c: f"b{c}" for c in ("x0", "y0", "x1", "y1")})
+    for few in (False, True):
+        got = G.overlapping_boxes(a, b, "a", "b", ("x0", "y0", "x1", "y1"), ("bx0", "by0", "bx1", "by1"), 1.0, few).collect()
+        assert sorted((r["b"], r["area"]) for r in got) == [(1, 12.25), (3, 0.25)]
