@@ -209,3 +209,24 @@ def test_accepted_radius_shuffles_no_pairs(spark):
     assert shuffled(spark, G.accepted_radius(found, [], [2.0, 50.0])) < 30_000
     want = {r["id"]: r["distance"] for r in G.nearest_brute(pts, seg, "id").collect()}
     assert {r["id"]: r["distance"] for r in found.collect()} == pytest.approx(want)
+
+def test_ties_reach_beyond_the_radius(spark):
+    """As in the SQL of g10_g11_g23_nearest_segment: the radius is for the nearest one, the tolerance for its ties."""
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 100.0), (3, None, 0.0), (4, 0.0, 0.0)], "id int, px double, py double")
+    seg = spark.createDataFrame([(7, 11.9995, -1.0, 11.9995, 1.0), (8, -12.0002, -1.0, -12.0002, 1.0), (9, 12.1, 0.0, 12.1, 0.0), (10, None, 0.0, 1.0, 1.0)], "sid int, x1 double, y1 double, x2 double, y2 double")
+    got = {r["id"]: (r["distance"], r["sid"], r["ties"]) for r in G.nearest_segment(pts, seg, "id", "sid", 12.0, 0.001).collect()}
+    assert got == {1: (11.9995, 7, 2), 4: (11.9995, 7, 2)}
+    assert G.nearest_segment(pts, seg.limit(0), "id", "sid", 12.0).collect() == []
+
+
+def test_nearest_of_long_short_and_distant_segments(spark):
+    """Cells of many sizes: segments from points to some over all cells, points inside the crowd and far off, at several radii."""
+    rng = random.Random(11)
+    pts = spark.createDataFrame([(i, rng.uniform(-60, 160), rng.uniform(-60, 160)) for i in range(150)] + [(200 + i, rng.gauss(20, 0.2), rng.gauss(20, 0.2)) for i in range(50)], "id int, px double, py double")
+    ends = [(rng.gauss(20, 0.3), rng.gauss(20, 0.3)) for _ in range(150)] + [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(30)]
+    seg = [(i, x, y, x + rng.choice([0.0, 1e-9, 0.01, 3.0, 90.0]), y + rng.choice([0.0, -0.02, 2.0, 120.0])) for i, (x, y) in enumerate(ends)]
+    segments = spark.createDataFrame(seg, "sid int, x1 double, y1 double, x2 double, y2 double")
+    want = {r["id"]: r["distance"] for r in G.nearest_brute(pts, segments, "id").collect()}
+    for radius in (0.05, 7.0, 500.0):
+        got = {r["id"]: r["distance"] for r in G.nearest_segment(pts, segments, "id", "sid", radius).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items() if v <= radius}
