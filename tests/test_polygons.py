@@ -230,3 +230,10 @@ def test_nearest_of_long_short_and_distant_segments(spark):
     for radius in (0.05, 7.0, 500.0):
         got = {r["id"]: r["distance"] for r in G.nearest_segment(pts, segments, "id", "sid", radius).collect()}
         assert got == {k: pytest.approx(v) for k, v in want.items() if v <= radius}
+
+
+def test_probe_gate_shuffles_no_pairs(spark):
+    pts, seg = crowd(spark)
+    near = lambda s, name: G.nearest_segment(pts, s, "id", "sid", 12.0).select("id", F.col("distance").alias(name))
+    j = near(seg, "inclusive").join(near(seg.where("sid % 2 = 0"), "baseline"), "id")
+    assert shuffled(spark, j) < 40_000
