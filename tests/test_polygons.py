@@ -237,3 +237,12 @@ def test_probe_gate_shuffles_no_pairs(spark):
     near = lambda s, name: G.nearest_segment(pts, s, "id", "sid", 12.0).select("id", F.col("distance").alias(name))
     j = near(seg, "inclusive").join(near(seg.where("sid % 2 = 0"), "baseline"), "id")
     assert shuffled(spark, j) < 40_000
+
+
+def test_expanding_search_keeps_no_rounds_in_memory(spark):
+    """Rounds were persisted, and each round's points joined to all earlier ones'."""
+    pts, seg = crowd(spark)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = P.expanding_nearest(pts, seg, "id", "sid", [0.1, 1.0, 40.0])
+    assert all(r["radius"] == (0.1 if r["distance"] <= 0.1 else 1.0 if r["distance"] <= 1 else 40.0) for r in got.collect())
+    assert "InMemory" not in got._jdf.queryExecution().executedPlan().toString() and spark.sparkContext._jsc.getPersistentRDDs().size() == held
