@@ -73,13 +73,28 @@ def reporting_faults(targets: DataFrame, predictions: DataFrame, availability: D
     return sums.select(*keys, F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("fault"))
 
 
+def six_digits(v: Column) -> Column:
+    """A double to six digits as its exact binary value rounds, halves to even, as C and SQL print it; format_string rounds its shortest decimal form instead.
+
+    v is cut into two halves of its bits, whose products with a million are exact; so is their comparison with a half.
+    """
+    x = F.abs(v)
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    whole = F.floor(x * 1e6).cast("double")
+    over, rest = high * 1e6 - whole - 0.5, (high - x) * 1e6
+    k = F.when(over > rest, whole + 1).when((over == rest) & (F.pmod(whole, F.lit(2.0)) == 1), whole + 1).otherwise(whole).cast("long")
+    text = F.concat(F.when(v < 0, "-").otherwise(""), F.floor(k / 1_000_000).cast("string"), F.lit("."), F.lpad((k % 1_000_000).cast("string"), 6, "0"))
+    return F.when(x < 1e9, text).otherwise(F.format_string("%.6f", v))
+
+
 def sorted_shares(overlaps: DataFrame, unit: str, label: str, area: str) -> DataFrame:
     """(unit, label, share, shares): the label with the largest overlap, ties the least label, and all labels as `label:share` (six digits) from the largest on."""
     w = Window.partitionBy(unit)
     s = overlaps.groupBy(unit, label).agg(F.sum(area).alias("__a")).withColumn("share", F.col("__a") / F.sum("__a").over(w))
     listed = F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("down"), F.col(label).alias("label"))))
     out = s.groupBy(unit).agg(listed.alias("l"))
-    return out.select(unit, F.col("l")[0]["label"].alias(label), (-F.col("l")[0]["down"]).alias("share"), F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["label"].cast("string"), F.format_string("%.6f", -x["down"]))), "|").alias("shares"))
+    return out.select(unit, F.col("l")[0]["label"].alias(label), (-F.col("l")[0]["down"]).alias("share"), F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["label"].cast("string"), six_digits(-x["down"]))), "|").alias("shares"))
 
 
 def name_reasons(names: DataFrame, name: str, patterns: dict[str, str]) -> DataFrame:

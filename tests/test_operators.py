@@ -240,3 +240,17 @@ def test_ridge_from_sums_agrees_with_a_direct_solution(spark):
     keep = np.arange(200) % 4 != 0
     direct = np.linalg.lstsq(np.c_[np.ones(keep.sum()), x[keep]], y[keep], rcond=None)[0]
     assert got[0.0] == pytest.approx(direct.tolist(), abs=1e-6) and abs(got[5.0][1]) < abs(got[0.0][1])
+
+
+def test_shares_print_as_their_binary_values_round(spark):
+    """0.1513125 is a little less than that, 0.0078125 is itself and halfway: C prints 0.151312 and 0.007812."""
+    import random
+
+    from tessera.operators import evidence as E
+
+    rng = random.Random(3)
+    values = [0.1513125, 0.1305625, 0.0078125, 0.0234375, 0.0, 1.0, 0.9999995, 0.99999951, 1e-7, 5e-7, 1e-12, 12.3456785, -0.1513125, -0.5] + [rng.randrange(1, 2000) / rng.randrange(1, 2000) for _ in range(500)] + [(2 * rng.randrange(500_000) + 1) / 2e6 for _ in range(500)]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", E.six_digits(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == [f"{v:.6f}" for v in values]
+    areas = spark.createDataFrame([(1, 1, 2421.0), (1, 2, 13579.0)], "unit int, label int, area double")
+    assert E.sorted_shares(areas, "unit", "label", "area").first()["shares"] == "2:0.848688|1:0.151312"
