@@ -7,12 +7,15 @@ exclusion, and every outer and inner fold adds up those of its years. No row mee
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import models, splits, windows
+from tessera.session import ship_code
 
 FAMILIES = ("temporal", "spatial", "joint")
 
@@ -69,16 +72,93 @@ def training_cells(cells: DataFrame, folds: DataFrame, year: str, inner: bool) -
     return j
 
 
+def held(few: DataFrame) -> DataFrame:
+    """A table of a few rows (folds, a place's sums by year), computed once and kept in the plan."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
+#: So many errors (rows x fits) are held at a time.
+ERRORS = 1_000_000
+
+
 def inner_date_scores(rows: DataFrame, fits: DataFrame, features: Sequence[str], target: str, year: str, day: str, block: str, unit: str, buffer: DataFrame) -> DataFrame:
     """(family, fold, inner_year, alpha, day, mae): every inner fit on the rows of its inner year that are not left out in space.
 
-    A date's errors are summed before they are shuffled. fits: (family, fold, held_block, inner_year, alpha, b_i).
+    fits: (family, fold, held_block, inner_year, alpha, b_i); the driver takes them at once and sends them to all tasks, with the distinct sets of blocks
+    that a unit is near. Rows never meet fits as rows: a task takes a batch's errors under all fits of its year as one product and adds them up by date,
+    and what is shuffled is one row a date and task.
     """
-    near = buffer.select("held_block", unit).distinct().groupBy(unit).agg(F.collect_set("held_block").alias("__near"))  # blocks near one unit
-    at = rows.join(near, unit, "left").withColumn("__b", F.col(block).cast("string")).select(year, day, "__b", "__near", *features, target)
-    scored = models.linear_predictions(at.withColumnRenamed(year, "inner_year"), fits, ["inner_year"], features, "__pred")
-    left = F.col("held_block").isNull() | (F.col("family") == "temporal") | (F.col("__b") != F.col("held_block")) & ((F.col("family") != "joint") | ~F.coalesce(F.array_contains("__near", F.col("held_block")), F.lit(False)))
-    return scored.where(left).groupBy("family", "fold", "inner_year", "alpha", day).agg(F.avg(F.abs(F.col("__pred") - F.col(target))).alias("mae"))
+    spark, width = rows.sparkSession, len(features)
+    ship_code(spark)
+    near = buffer.select("held_block", unit).distinct().groupBy(unit).agg(F.array_sort(F.collect_set("held_block")).alias("__near"))  # blocks near one unit
+    sets = [r["__near"] for r in near.select("__near").distinct().collect()]
+    codes = F.create_map(*[v for i, b in enumerate(sets) for v in (F.array(*map(F.lit, b)).cast("string"), F.lit(i))]) if sets else None
+    coded = near.select(unit, codes[F.col("__near").cast("string")].alias("__near")) if sets else near.select(unit, F.lit(-1).alias("__near")).limit(0)
+    at = rows.join(coded, unit, "left").select(F.col(year).alias("year"), F.col(day).alias("day"), F.col(block).cast("string").alias("block"), F.coalesce("__near", F.lit(-1)).alias("near"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("y"))
+    by_year: dict = {}
+    for r in fits.collect():
+        by_year.setdefault(r["inner_year"], []).append((r["family"], r["fold"], r["alpha"], r["held_block"], [r[f"b_{i}"] for i in range(width + 1)]))
+    sent = spark.sparkContext.broadcast((by_year, [frozenset(b) for b in sets]))
+
+    def left_in(listed: list, place: str | None, close: frozenset) -> np.ndarray:
+        """Which fits score the rows of a block and set of near blocks."""
+        return np.array([b is None or family == "temporal" or (place is not None and place != b and (family != "joint" or b not in close)) for family, _, _, b, _ in listed])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits_of, near_sets = sent.value
+        slopes = {k: np.array([f[4] for f in v], float) for k, v in fits_of.items()}
+        places: dict = {}
+        total: dict = {}
+        for batch in batches:
+            kind = batch.schema.field("day").type
+            coded = {c: batch.column(c).dictionary_encode(null_encoding="encode") for c in ("year", "day", "block")}
+            names = {c: v.dictionary.to_pylist() for c, v in coded.items()}
+            y_of, d_of, b_of = (coded[c].indices.to_numpy() for c in ("year", "day", "block"))
+            n_of, values = batch.column("near").to_numpy(), np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (*[f"x{i}" for i in range(width)], "y")])
+            known = np.ones(len(values[0]), bool)
+            for c in (*[f"x{i}" for i in range(width)], "y"):
+                known &= batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+            for i, this in enumerate(names["year"]):
+                if this not in fits_of:
+                    continue
+                mine, b = np.flatnonzero(y_of == i), slopes[this]
+                mine = mine[np.argsort(d_of[mine], kind="stable")]
+                step = max(1, ERRORS // len(b))
+                for part in (mine[k : k + step] for k in range(0, len(mine), step)):
+                    error = np.abs(b[:, 0] + values[:-1, part].T @ b[:, 1:].T - values[-1, part][:, None])
+                    pairs, which = np.unique(np.stack([b_of[part], n_of[part]]), axis=1, return_inverse=True)
+                    kept = []
+                    for place, close in pairs.T:
+                        key = (this, names["block"][place], int(close))
+                        if key not in places:
+                            places[key] = left_in(fits_of[this], key[1], near_sets[close] if close >= 0 else frozenset())
+                        kept.append(places[key])
+                    seen = np.array(kept)[which.ravel()]
+                    first = np.flatnonzero(np.diff(d_of[part], prepend=-1))
+                    counted = seen & known[part][:, None]
+                    held_ = (np.where(counted, error, 0.0), counted.astype(float), seen.astype(float))
+                    for d, *sums in zip(d_of[part][first], *[np.add.reduceat(h, first, axis=0) for h in held_], strict=True):
+                        key = (this, names["day"][d])
+                        total[key] = total[key] + sums if key in total else np.array(sums)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int64()), pa.array([k[1] for k in total], kind), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["year", "day", "held"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits_of, total = sent.value[0], {}
+        for batch in batches:
+            kind = batch.schema.field("day").type
+            for y, d, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                total[y, d] = total.get((y, d), 0.0) + np.frombuffer(h)
+        for (y, d), v in total.items():
+            error, counted, seen = v.reshape(3, -1)
+            kept = np.flatnonzero(seen)
+            names = [fits_of[y][i] for i in kept]
+            mae = pa.array(error[kept] / np.where(counted[kept] > 0, counted[kept], 1.0), mask=counted[kept] == 0)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in names], pa.string()), pa.array([f[1] for f in names], pa.string()), pa.array([y] * len(kept), pa.int64()), pa.array([f[2] for f in names], pa.float64()), pa.array([d] * len(kept), kind), mae], names=["family", "fold", "inner_year", "alpha", day, "mae"])
+
+    of_day = rows.schema[day].dataType.simpleString()
+    parts = at.withColumn("year", F.col("year").cast("long")).mapInArrow(summed, f"year long, day {of_day}, held binary").repartition("year", "day")
+    return parts.mapInArrow(joined, f"family string, fold string, inner_year long, alpha double, `{day}` {of_day}, mae double")
 
 
 def nested_scores(rows: DataFrame, cells: DataFrame, folds: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float], year: str, day: str, block: str, unit: str, buffer: DataFrame, l1_ratio: float | None = None, used: Sequence[str] | None = None) -> DataFrame:

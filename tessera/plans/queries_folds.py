@@ -45,8 +45,8 @@ _TESTED = "CASE k.family WHEN 'temporal' THEN r.yr = k.held_year WHEN 'spatial'
 def nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, cells, folds, inner date scores) with one feature."""
     rows = fold_rows(spark, sf_dir)
-    near, folds = near_blocks(rows), S.fold_table(rows, "yr", "block")
-    cells = O.outside_cells(rows, ["x"], "y", "yr", "day", "block", "unit", near)
+    near, folds = near_blocks(rows), O.held(S.fold_table(rows, "yr", "block"))
+    cells = O.held(O.outside_cells(rows, ["x"], "y", "yr", "day", "block", "unit", near))
     return rows, cells, folds, O.nested_scores(rows, cells, folds, ["x"], "y", ALPHAS, **_PLACE, buffer=near)
 
 
@@ -112,8 +112,8 @@ def f25(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import models as L
 
     rows = fold_rows(spark, sf_dir)
-    near, folds = near_blocks(rows), S.fold_table(rows, "yr", "block")
-    cells, out = O.outside_cells(rows, FEATURES, "y", "yr", "day", "block", "unit", near), None
+    near, folds = near_blocks(rows), O.held(S.fold_table(rows, "yr", "block"))
+    cells, out = O.held(O.outside_cells(rows, FEATURES, "y", "yr", "day", "block", "unit", near)), None
     for left_out, dropped in (("none", []), ("size", ["x"]), ("terms", ["z"])):
         part, names = L.without_features(cells, FEATURES, dropped)
         scores = O.nested_scores(rows, part, folds, FEATURES, "y", ALPHAS, **_PLACE, buffer=near, used=names)

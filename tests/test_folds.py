@@ -114,3 +114,19 @@ def test_elastic_net_from_sums_equals_a_fit_of_the_rows(spark):
             assert got[held, alpha][1:] == pytest.approx([c / s for c, s in zip(fit.coefficients, sd)], abs=1e-6)
             assert got[held, alpha][0] == pytest.approx(fit.intercept, abs=1e-5)
     assert all(abs(v[3]) < 1e-12 for (_, a), v in got.items() if a == 0.4)
+
+
+def test_rows_do_not_meet_fits_in_a_join(panel):
+    """A row of a year stood once for each of its fits."""
+    from tests.test_polygons import joined
+
+    data, _, rows, near = panel
+    folds = O.held(S.fold_table(rows, "yr", "block"))
+    cells = O.held(O.outside_cells(rows, ["a", "b"], "y", "yr", "day", "block", "unit", near))
+    empty = rows.withColumn("b", F.when(F.col("unit") == 1, F.col("b")))  # a null feature: no error, but a date all the same
+    scores = O.nested_scores(rows, cells, folds, ["a", "b"], "y", [0.0, 4.0, 9.0], **PLACE, buffer=near)
+    assert joined(scores) <= 3 * len(data)
+    fits = L.ridge_by_fold(O.training_cells(cells, folds, "yr", True), ["family", "fold", "held_block", "inner_year"], ["a", "b"], [0.0])
+    got = O.inner_date_scores(empty.where("unit in (1, 2)"), fits, ["a", "b"], "y", **PLACE, buffer=near).collect()
+    ones, twos = ({r[3] for r in data if r[0] == u} for u in (1, 2))
+    assert {r["day"] for r in got if r["mae"] is None and r["family"] == "temporal"} == twos - ones and {r["day"] for r in got} == ones | twos
