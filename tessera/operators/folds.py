@@ -175,6 +175,6 @@ def chosen_candidates(scores: DataFrame, absolute: float = 1e-9, relative: float
 
 
 def outer_predictions(rows: DataFrame, cells: DataFrame, folds: DataFrame, chosen: DataFrame, features: Sequence[str], alphas: Sequence[float], year: str, block: str, l1_ratio: float | None = None) -> DataFrame:
-    """(the row, family, fold, held_year, held_block, alpha, pred): each fold refitted with its candidate, on its test rows."""
+    """(the row, family, fold, held_year, held_block, alpha, pred): each fold refitted with its candidate, on its test rows. A fit a fold goes to all tasks, rows stay where they are."""
     fits = models.ridge_by_fold(training_cells(cells, folds, year, False), ["family", "fold"], features, alphas, l1_ratio).join(chosen, ["family", "fold", "alpha"])
-    return models.linear_predictions(splits.tested_rows(rows, folds, year, block), fits, ["family", "fold"], features)
+    return models.linear_predictions(splits.tested_rows(rows, folds, year, block), F.broadcast(fits), ["family", "fold"], features)

@@ -130,3 +130,14 @@ def test_rows_do_not_meet_fits_in_a_join(panel):
     got = O.inner_date_scores(empty.where("unit in (1, 2)"), fits, ["a", "b"], "y", **PLACE, buffer=near).collect()
     ones, twos = ({r[3] for r in data if r[0] == u} for u in (1, 2))
     assert {r["day"] for r in got if r["mae"] is None and r["family"] == "temporal"} == twos - ones and {r["day"] for r in got} == ones | twos
+
+
+def test_tested_rows_stay_where_they_are(panel):
+    """Predictions need no shuffle of the rows: folds and fits are sent to them."""
+    _, _, rows, near = panel
+    folds = O.held(S.fold_table(rows, "yr", "block"))
+    cells = O.held(O.outside_cells(rows, ["a", "b"], "y", "yr", "day", "block", "unit", near))
+    chosen = folds.select("family", "fold", F.lit(4.0).alias("alpha"))
+    plan = O.outer_predictions(rows, cells, folds, chosen, ["a", "b"], [4.0], "yr", "block")._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Union")]
+    assert "BroadcastHashJoin" in top and "SortMergeJoin" not in top
