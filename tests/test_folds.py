@@ -141,3 +141,12 @@ def test_tested_rows_stay_where_they_are(panel):
     plan = O.outer_predictions(rows, cells, folds, chosen, ["a", "b"], [4.0], "yr", "block")._jdf.queryExecution().executedPlan().toString()
     top = plan[: plan.index("Union")]
     assert "BroadcastHashJoin" in top and "SortMergeJoin" not in top
+
+
+def test_few_rows_are_taken_once(panel):
+    """Folds and sums by place and year are used by every way of an ablation; their plans stood in each of them."""
+    _, _, rows, near = panel
+    cells = O.outside_cells(rows, ["a", "b"], "y", "yr", "day", "block", "unit", near)
+    kept = O.held(cells)
+    assert kept.schema == cells.schema and sorted(map(str, kept.collect())) == sorted(map(str, O.held(kept).collect()))
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
