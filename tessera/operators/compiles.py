@@ -48,13 +48,17 @@ def oof_violations(fragments: DataFrame, expected: DataFrame, keys: Sequence[str
     fragments: (family, fold, model, candidate, keys, truth, ...); expected: (family, fold, keys, truth), the test rows of every fold. A
     fragment may lack a row (missing), have one that is not its fold's (surplus) or one twice (doubled), or another truth (truth); a fold and
     model of more than one candidate (candidates) has null keys.
+
+    Folds and models are few and go to all tasks; fragments and expected rows that are dealt out by their keys stay where they are.
     """
     parts = ["family", "fold", "model"]
-    want = expected.join(fragments.select(*parts).distinct(), ["family", "fold"]).select(*parts, *keys, F.col(truth).alias("__want"), F.lit(True).alias("__due"))
-    have = fragments.groupBy(*parts, *keys).agg(F.count(F.lit(1)).alias("__n"), F.min(truth).alias("__low"), F.max(truth).alias("__high"))
-    j = want.join(have, [*parts, *keys], "full_outer")
-    equal = F.col("__want").eqNullSafe(F.col("__low")) & F.col("__want").eqNullSafe(F.col("__high"))
-    problem = F.when(F.col("__n").isNull(), "missing").when(F.col("__due").isNull(), "surplus").when(F.col("__n") > 1, "doubled").when(~equal, "truth")
+    due = expected.join(F.broadcast(fragments.select(*parts).distinct()), ["family", "fold"])
+    none = F.lit(None).cast(fragments.schema[truth].dataType)
+    sides = due.select(*parts, *keys, F.lit(1).alias("__due"), F.lit(0).alias("__is"), F.col(truth).alias("__want"), none.alias("__have")).union(fragments.select(*parts, *keys, F.lit(0), F.lit(1), none, truth))
+    least_most = [f(c).alias(f"{n}{c}") for c in ("__want", "__have") for f, n in ((F.min, "__low"), (F.max, "__high"))]
+    j = sides.groupBy(*parts, *keys).agg(F.sum("__due").alias("__due"), F.sum("__is").alias("__n"), *least_most)
+    equal = F.col("__low__want").eqNullSafe(F.col("__low__have")) & F.col("__high__want").eqNullSafe(F.col("__high__have"))
+    problem = F.when(F.col("__n") == 0, "missing").when(F.col("__due") == 0, "surplus").when(F.col("__n") > 1, "doubled").when(~equal, "truth")
     rows = j.withColumn("problem", problem).where("problem is not null").select(*parts, *keys, "problem")
     many = fragments.groupBy(*parts).agg(F.countDistinct("candidate").alias("__n")).where("__n <> 1")
     return rows.unionByName(many.select(*parts, *[F.lit(None).cast(fragments.schema[k].dataType).alias(k) for k in keys], F.lit("candidates").alias("problem")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +82,10 @@ _FRAGMENTS = f"""{PAIRS_SQL.replace('l_returnflag AS family, ', '').replace('pai
       FROM lines, (SELECT unnest(['temporal', 'spatial']) AS family) f, (SELECT unnest(['line', 'flat']) AS model) m)"""
 
 
-def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir).withColumn("flat", F.col("l_quantity") * 1500)
+def fragments(spark: SparkSession, sf_dir: str, by: Sequence[str] = ()) -> DataFrame:
+    """Predictions of two models in the folds of two families; with `by`, lines are dealt out by these keys before each stands there four times."""
+    lines = pairs(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "yr", "day", "y", "p")
+    rows = (lines.repartition(*by) if by else lines).withColumn("flat", F.col("l_quantity") * 1500)
     parts = [F.struct(F.lit(f).alias("family"), fold.cast("long").alias("fold"), F.lit(m).alias("model"), F.col(p).alias("p")) for f, fold in (("temporal", F.col("yr")), ("spatial", F.col("l_suppkey") % 5)) for m, p in (("line", "p"), ("flat", "flat"))]
     return rows.select("l_orderkey", "l_linenumber", "day", "y", F.explode(F.array(*parts)).alias("x")).select("x.family", "x.fold", "x.model", F.lit("c1").alias("candidate"), "l_orderkey", "l_linenumber", "day", "y", "x.p")
 
@@ -97,7 +101,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d52_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted: rows left out, truths moved, and one fold with two candidates."""
     # line numbers repeat within an order here; a fragment has a key once
-    whole = fragments(spark, sf_dir).groupBy("family", "fold", "model", "candidate", "l_orderkey", "l_linenumber").agg(F.min("y").alias("y"), F.min("p").alias("p"))
+    whole = fragments(spark, sf_dir, ("l_orderkey", "l_linenumber")).groupBy("family", "fold", "model", "candidate", "l_orderkey", "l_linenumber").agg(F.min("y").alias("y"), F.min("p").alias("p"))
     mark = F.col("l_orderkey") % 5 == 0
     bad = whole.where(~(mark & (F.col("l_linenumber") == 7))).withColumn("y", F.when(mark & (F.col("l_linenumber") == 6), F.col("y") + 1).otherwise(F.col("y")))
     two = (F.col("family") == "spatial") & (F.col("fold") == 3) & (F.col("model") == "flat")

@@ -86,3 +86,12 @@ def test_summaries_count_undefined_dates(spark):
     rows = spark.createDataFrame([(1, "x", 1.0, 2.0), (1, "y", 1.0, 1.0), (2, "x", 1.0, 4.0)], "day int, s string, y double, p double")
     dates, summary = C.sensor_tables(rows, "s", "day", "y", "p")
     assert dates.count() == 3 and {r["s"]: (r["dates"], r["mae"], r["dates_alone"]) for r in summary.collect()} == {"x": (2, 2.0, 1), "y": (1, 0.0, 0)}
+
+
+def test_out_of_fold_rows_meet_without_a_join(spark):
+    """Expected rows were shuffled to their folds and then, with the fragments, to their keys; now lines are dealt out once, before each stands there four times."""
+    from tessera.plans import registry
+
+    plan = registry.queries()["d52_oof_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(family" in plan
+    assert not any("hashpartitioning(family" in line and "l_orderkey" in line for line in plan.splitlines())
