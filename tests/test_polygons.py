@@ -275,3 +275,10 @@ def test_buffers_of_crowded_boxes_take_few_pairs(spark):
     out = G.buffer_units(units, "id", "block", ("x0", "y0", "x1", "y1"), 1.5)
     assert joined(out) < 100_000  # 180,000 pairs of A and B alone, each in many cells
     assert {(r["held_block"], r["id"]): r["distance"] for r in out.collect() if r["role"] == "buffer_only"} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_edge_buffers_send_nothing_through_the_driver(spark):
+    """Units' cells, pairs and edges are as many as the suppliers; the planner took them for small by the size of the file."""
+    from tessera.plans import registry
+
+    assert sent(registry.queries()["g09_edge_buffers"](spark, "/root/testdata/sf0.001")) == []
